@@ -36,7 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case. For pure ASCII lower() does the same and is much faster than translate()."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, even where body uses it inside further lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANKS, lower_ascii, read_table, written
+from cairn.llm.common import BLANKS, bound, lower_ascii, read_table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -22,8 +22,8 @@ def _lines(text: Column) -> Column:
 def _keys(text: Column, min_chars: int) -> Column:
     """For each line its position and two independent 64-bit hashes of its key; short keys are left out."""
     def entry(line, i):
-        key = lower_ascii(F.btrim(line, F.lit(BLANKS)))
-        return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), i.alias("pos")))
+        return F.when(F.char_length(line) >= min_chars, bound(lower_ascii(F.btrim(line, F.lit(BLANKS))), lambda key: F.when(
+            F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), i.alias("pos")))))
 
     return F.filter(F.transform(_lines(text), entry), lambda x: x.isNotNull())
 
@@ -38,7 +38,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     who = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select(who.alias("_d"), F.xxhash64("text").alias("_t"), _keys(F.col("text"), min_chars).alias("_k"))
+    rows = written(docs.select(who.alias("_d"), F.xxhash64("text").alias("_t"), _keys(F.col("text"), min_chars).alias("_k")).where(F.size("_k") > 0), "line_keys")
     one_each = F.explode(F.array_distinct(F.transform("_k", lambda x: F.struct(x.h1, x.h2)))).alias("_e")
     shared = (rows.select("_d", one_each).groupBy(F.col("_e.h1").alias("h1"), F.col("_e.h2").alias("h2"))
               .agg(F.count("*").alias("_n"), F.max("_d").alias("_last")).where(F.col("_n") >= min_docs))
@@ -47,14 +47,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     hits = found.join(shared, ["h1", "h2"]).where(F.col("_d") != F.col("_last"))
     drops = hits.groupBy("_d", "_t").agg(F.collect_set("pos").alias("_drop"))
     joined = docs.withColumns({"_d": who, "_t": F.xxhash64("text")}).join(drops, ["_d", "_t"], "left")
-    lines = _lines(F.col("text"))
-    n = F.size(lines)
+    text = F.coalesce("text", F.lit(""))
+    n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return (joined.withColumn("_lines", lines).withColumns({
-        "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "kept_text": kept,
-    }).drop("_d", "_t", "_drop", "_lines"))
+    kept = bound(_lines(text), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return joined.withColumns({
+        "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(kept),
+    }).drop("_d", "_t", "_drop")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import line_dedup
+from cairn.llm import bpe, line_dedup, mixing
 
-QUERIES = {"op6_line_dedup": line_dedup.op6_line_dedup}
+QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op3_mixing": mixing.op3_mixing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+}
 SQL = {"op6_line_dedup": line_dedup.SQL}
