@@ -1,10 +1,16 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import bpe, line_dedup, mixing
+from cairn.llm import bpe, chat, line_dedup, mixing, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_chat": chat.op8_chat,
+    "op9_url_filter": url_filter.op9_url_filter,
+}
+SQL = {
+    "op6_line_dedup": line_dedup.SQL,
+    "op8_chat": chat.SQL,
+    "op9_url_filter": url_filter.SQL,
 }
-SQL = {"op6_line_dedup": line_dedup.SQL}
