@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import bpe, chat, line_dedup, mixing, url_filter
+from cairn.llm import bpe, chat, line_dedup, mixing, toxicity, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_chat": chat.op8_chat,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op6_line_dedup": line_dedup.SQL,
