@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import bpe, chat, line_dedup, minhash, mixing, toxicity, url_filter
+from cairn.llm import bpe, chat, line_dedup, minhash, mixing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_chat": chat.op8_chat,
     "op9_url_filter": url_filter.op9_url_filter,
