@@ -1,18 +1,21 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import bpe, chat, line_dedup, minhash, mixing, substring_dedup, toxicity, url_filter
+from cairn.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, substring_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op4_topk": topk.op4_topk,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_chat": chat.op8_chat,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op4_topk": topk.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op8_chat": chat.SQL,
     "op9_url_filter": url_filter.SQL,
