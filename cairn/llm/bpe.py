@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            texts = batch.column("_data").to_pylist()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
             ids = [coder.encode(t or b"") for t in texts]
             decoded = [coder.decode(x).decode() for x in ids]
             lists = pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
@@ -196,7 +196,7 @@ def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         coder = _coder(path)
         for batch in batches:
             n, a, b = [], [], []
-            for t in batch.column("_data").to_pylist():
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
                 ids = coder.encode(t or b"")
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -207,7 +207,7 @@ def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def _brought_together(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text's bytes as ``_data``, rows with an equal smallest border hash side by side."""
+    """``docs`` with rows of an equal smallest border hash side by side."""
     @F.pandas_udf("long")
     def smallest_border(data):
         def of(text):
@@ -216,8 +216,7 @@ def _brought_together(docs: DataFrame) -> DataFrame:
 
         return data.map(of, na_action="ignore").fillna(0).astype("int64")
 
-    data = F.col("text").cast("binary")
-    return docs.withColumn("_data", data).withColumn("_key", smallest_border(data)).hint("rebalance", F.col("_key")).drop("_key")
+    return docs.withColumn("_key", smallest_border(F.col("text").cast("binary"))).hint("rebalance", F.col("_key")).drop("_key")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
