@@ -1,6 +1,6 @@
 """All registered queries on the library's own operators, and the SQL that checks them."""
 
-from cairn.plans import search_queries
+from cairn.plans import catalog_queries, search_queries
 
-QUERIES = {**search_queries.QUERIES}
-SQL = {**search_queries.SQL}
+QUERIES = {**search_queries.QUERIES, **catalog_queries.QUERIES}
+SQL = {**search_queries.SQL, **catalog_queries.SQL}
