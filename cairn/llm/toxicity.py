@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table
+from cairn.llm.common import read_table, written
 
 BITS, FACTORS, MAX_TRAIN, MIN_DOCS, MIN_CHI2, EPOCHS, SEED = 18, 6, 24_000, 4, 12.0, 40, 11
 _TERM = re.compile(r"[^\W_]+(?:[*@$'][^\W_]+)*")
@@ -79,10 +79,12 @@ class FactorizationMachine:
 def _telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
     """Buckets held by MIN_DOCS documents or more with label 1 more often than the rest, by a chi-square of MIN_CHI2 or more."""
     count = lambda of: np.bincount(np.concatenate([_NONE, *of]), minlength=size).astype(float)
-    a, n = count([x for x, y in zip(rows, labels) if y == 1]), count(rows)
-    p, total = labels.mean(), len(rows)
-    chi2 = (a - n * p) ** 2 / np.maximum(n * p * (1 - p) * (1 - n / total), 1e-9)
-    return np.flatnonzero((n >= MIN_DOCS) & (a > n * p) & (chi2 >= MIN_CHI2))
+    return np.flatnonzero(_tells(count([x for x, y in zip(rows, labels) if y == 1]), count(rows), labels.mean(), len(rows)))
+
+
+def _tells(a: np.ndarray, n: np.ndarray, p: float, total: int) -> np.ndarray:
+    chi2 = (a - n * p) ** 2 / np.maximum(n * p * (1 - p) * (1 - n / max(total, 1)), 1e-9)
+    return (n >= MIN_DOCS) & (a > n * p) & (chi2 >= MIN_CHI2)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-6, seed: int = SEED) -> FactorizationMachine:
@@ -132,19 +134,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fits on the labelled documents whose crc32(doc_id) mod 5 is not 0, at most ``max_train`` of them, picked by hash.
 
+    The sample holds max_train rows at most, so it is broadcast. Only the counts of the 2^BITS buckets and the rows' telling buckets come to the driver.
+
     Rows with a null label, or with a label for no document, are left out.
     """
     wanted = (labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["doc_id", "x", "toxic"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "toxic").mapInArrow(out, "doc_id long, x array<int>, toxic int").toArrow().sort_by("doc_id")
-    x = [np.asarray(v, np.int64) for v in rows.column("x").to_pylist()]
-    return fit(x, np.asarray(rows.column("toxic").to_pylist(), float))
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int"), "labelled_terms")
+    total, p = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
+    counts = rows.select("toxic", F.explode("x").alias("x")).groupBy("x").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
+    kept = np.zeros(1 << BITS, bool)
+    kept[counts.column("x").to_numpy()[_tells(*(counts.column(c).to_numpy().astype(float) for c in ("a", "n")), p, total)]] = True
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x[kept[x]] for x in (batch.column("x")[i].values.to_numpy() for i in range(batch.num_rows))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic")], ["doc_id", "x", "toxic"])
+
+    rows = rows.mapInArrow(thin, rows.schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    lists = rows.column("x").combine_chunks()
+    x = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum([len(v) for v in lists])[:-1]) if len(lists) else []
+    return fit(x, rows.column("toxic").to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
