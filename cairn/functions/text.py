@@ -67,7 +67,7 @@ def repo_parts(url: Column, hosts: tuple[str, ...] = REPO_HOSTS) -> Column:
 
 
 def repo_id(parts: Column) -> Column:
-    return F.when(parts.isNotNull(), F.concat_ws("__", parts.host, parts.owner, parts.name))
+    return F.when(parts.isNotNull(), F.concat_ws("__", *[parts.getField(k) for k in ("host", "owner", "name")]))
 
 
 def hostname(url: Column) -> Column:
