@@ -16,6 +16,7 @@ from cairn.plans.search_queries import _UNITS
 from cairn.sources import export as O
 from cairn.sources import tables as W
 from cairn.sources.tables import table
+from cairn.streaming.activity import activity_windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -231,6 +232,16 @@ def token_bucket(spark, d):
     return S.admitted(calls, 1 / 3600, 3.0).select("call_id", "key", "admitted")
 
 
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 WHEN lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS began, count(*) AS touches, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def activity_sessions(spark, d):
+    """The events as sessions with gaps of 30 minutes; the same operator runs on a stream."""
+    out = activity_windows(table(spark, d, "events").select("user_id", "ts", "value"))
+    return out.select("user_id", F.unix_micros("began").alias("began"), "touches", F.round("value", 4).alias("value"))
+
+
 # --- snapshots
 
 
