@@ -3,9 +3,10 @@
 1. One pass over the texts gives each document the number of its distinct shingles, a 128-bit print of the set, a
    SuperMinHash signature and the band hashes. Documents with equal sets form a class at once; its smallest doc_id
    stands for it, so groups of exact copies cost nothing further.
-2. Representatives that share a band are candidates. No bucket is expanded into all its pairs: first every member is
-   compared with the bucket's smallest member, then, where a bucket still holds several components, with one member of
-   each of the others, and in the end what is left between different components, until no candidate pair is open.
+2. Representatives that share a band are candidates. No large bucket is expanded into all its pairs: first every member
+   is compared with the bucket's smallest member. Where a bucket then still holds several components, small buckets are
+   compared in full, and members of larger ones where a prefix filter on their sets leaves a link possible; the filter is
+   exact, so no link is lost.
 3. Candidates are confirmed on the full sets, rebuilt from the texts.
 4. Confirmed links are grouped by union-find within tasks and rounds of joins between them.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import read_table, written
 from cairn.llm.graph import components
 
-SHINGLE, SIMILAR, SLOTS, BANDS = 5, 85, 125, 25
+SHINGLE, SIMILAR, SLOTS, BANDS, SMALL, COUNTERS = 5, 85, 125, 25, 32, 1 << 18
 _U = np.uint64
 
 
@@ -151,21 +152,67 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(out, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, groups: DataFrame | None, every: bool) -> DataFrame:
-    """Pairs of bucket members in different components: with one pivot per component of the bucket, or every pair."""
-    who = members.select("bucket", "rep")
-    if groups is not None:
-        who = who.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        who = who.select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    else:
-        who = who.withColumn("component", F.col("rep"))
-    who = written(who, "bucket_components")
-    mixed = who.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    who = written(who.join(written(mixed, "mixed"), "bucket", "left_semi"), "open_members")
-    pivots = who if every else written(who.groupBy("bucket", "component").agg(F.min("rep").alias("rep")), "pivots")
-    pivots = pivots.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
-    pairs = who.withColumnRenamed("rep", "a").join(pivots, "bucket").where((F.col("component") != F.col("other")) & ((F.col("a") > F.col("b")) if every else F.lit(True)))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold more than one component."""
+    who = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    who = written(who.select("bucket", "size", "rep", F.coalesce("component", "rep").alias("component")), "bucket_components")
+    mixed = who.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return written(who.join(written(mixed, "mixed"), "bucket", "left_semi"), "open_members")
+
+
+def _small_bucket_pairs(members: DataFrame) -> DataFrame:
+    """Every pair of different components in buckets of at most SMALL members: fewer than SMALL for each member."""
+    a = members.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
+    b = a.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    return a.join(b, "bucket").where("a > b and ca <> cb").select("a", "b").distinct()
+
+
+def _item_counts(texts: DataFrame) -> np.ndarray:
+    """COUNTERS counts of the documents whose sets hold an item of each hash; its size does not depend on the input."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                held += np.bincount((shingles(t) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        parts = held.reshape(64, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "held"])
+
+    def total(t: pa.Table) -> pa.Table:
+        return pa.table({"part": t.column("part").slice(0, 1), "held": pa.array([sum(np.frombuffer(x, np.int64) for x in t.column("held").to_pylist()).tobytes()], pa.binary())})
+
+    got = texts.mapInArrow(count, "part long, held binary").groupBy("part").applyInArrow(total, "part long, held binary").toArrow().sort_by("part")
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in got.column("held").to_pylist())]) if got.num_rows else np.zeros(COUNTERS, np.int64)
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """The pairs of different components among members of larger buckets that can reach the similarity at all.
+
+    Sets are sorted by how many of these documents hold an element, as a count sketch of fixed size has it, rare ones first. Two sets of sizes m <= n need an
+    overlap of similar * (m + n) / (100 + similar), so their first common element stands early in both, with enough elements
+    behind it. Copies that differ by elements of their own have these in front, and so do not meet, however many there are.
+    """
+    who = members.where(F.col("size") > SMALL).select(F.col("rep").alias("id"), "component").distinct()
+    open_ = written(texts.select(F.col("doc_id").alias("id"), "text").join(who.select("id"), "id", "left_semi"), "open_texts")
+    held = open_.sparkSession.sparkContext.broadcast(_item_counts(open_))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t in batch.column("text").cast(pa.binary()).to_pylist():
+                items = shingles(t)
+                first = items[np.lexsort((items, held.value[items & _U(COUNTERS - 1)]))][: len(items) * (100 - similar) // 100 + 1]
+                rows.append((first.view(np.int64), np.full(len(first), len(items)), np.arange(len(first))))
+            of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+            item, n, at = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([item, batch.column("id").take(pa.array(of)), n, at], ["item", "id", "n", "at"])
+
+    probe = written(open_.mapInArrow(prefixes, "item long, id long, n long, at long").join(who, "id"), "prefixes")
+    x = probe.select("item", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "at", "component")))
+    y = probe.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * similar / (100 + similar))).select("item", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "at", "component")))
+    reach = (1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)) * (100 + similar) >= (F.col("n_x") + F.col("n_y")) * similar
+    order = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("id_y") < F.col("id_x")))
+    met = x.join(y, "item").where(order & reach & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * similar))
+    return met.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -183,22 +230,16 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS,
     classes = written(classes, "classes")
     reps = classes.join(sigs.where("n_shingles > 0"), (sigs["print"] == classes["print"]) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = written(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "hub"), "hubs")
+    hubs = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "size", "hub"), "hubs")
     members = written(buckets.join(hubs, "bucket"), "members")
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "candidate_texts")
     tested = written(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = written(_confirmed(tested, texts, similar), "links")
-    groups = written(components(links), "groups")
-    for every in (False, True):
-        fresh = _open_pairs(members, groups, every)
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        more = written(_confirmed(fresh, texts, similar), "links")
-        tested = tested.unionByName(fresh)
-        links = links.unionByName(more)
-        groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+    groups = written(components(written(_confirmed(tested, texts, similar), "links")), "groups")
+    open_ = _open_members(members, groups)
+    fresh = _small_bucket_pairs(open_).unionByName(_prefix_pairs(open_, texts, similar)).distinct()
+    more = written(_confirmed(written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, similar), "links")
+    groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
