@@ -53,7 +53,9 @@ def test_superminhash_estimates_with_less_spread_than_minhash():
         assert abs(same.mean() - j) < 0.012 and same.std() < (j * (1 - j) / 125) ** 0.5
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(500)]
     texts = []
@@ -170,6 +172,7 @@ def test_sorted_lists_stop_early():
 
 def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 40)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.15, size=(20, 16)), base[0] + rng.normal(scale=0.12, size=(150, 16)), base[5:8], 3 * base[30:33]]).astype(np.float32)
