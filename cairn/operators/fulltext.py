@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import grams, trigrams
+from cairn.sources.tables import checkpointed
 
 TOP, MAX_GRAMS, K1, B = 50, 48, 1.2, 0.75
 
@@ -85,12 +86,15 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def keyword_channel(chunks: DataFrame, query: str, among: DataFrame | None = None) -> DataFrame:
-    """Phrase hits, or where there are none, hits of the query's trigrams: (chunk_id, score), TOP rows at most."""
-    exact = top(phrase_scores(chunks, query, among))
+    """Phrase hits, or where there are none, hits of the query's trigrams: (chunk_id, score), TOP rows at most.
+
+    The phrase hits are written at once, so that the costlier trigram plan runs only if they are none.
+    """
+    exact = checkpointed(top(phrase_scores(chunks, query, among)))
+    if not exact.isEmpty() or len(query.strip()) < 3:
+        return exact
     asked = chunks.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    loose = top(trigram_scores(chunks, asked, among).select("chunk_id", "score"))
-    none = exact.agg(F.count("*").alias("c")).where("c = 0")
-    return exact.unionByName(loose.join(F.broadcast(none)).select("chunk_id", "score"))
+    return top(trigram_scores(chunks, asked, among).select("chunk_id", "score"))
 
 
 def substring_channel(chunks: DataFrame, query: str, count_hits: bool = True) -> DataFrame:
@@ -99,9 +103,9 @@ def substring_channel(chunks: DataFrame, query: str, count_hits: bool = True) ->
     ``count_hits=False`` keeps the order of ids there, too.
     """
     q, text = query.strip().lower(), F.lower("text")
-    exact = chunks.where(F.contains(text, F.lit(q)) & F.lit(q != "")).select("chunk_id", F.lit(1.0).alias("score")).orderBy("chunk_id").limit(TOP)
+    exact = checkpointed(chunks.where(F.contains(text, F.lit(q)) & F.lit(q != "")).select("chunk_id", F.lit(1.0).alias("score")).orderBy("chunk_id").limit(TOP))
+    if not exact.isEmpty():
+        return exact
     pieces = F.slice(trigrams(F.lit(q)), 1, MAX_GRAMS)
     hits = F.size(F.filter(pieces, lambda g: F.contains(text, g)))
-    loose = chunks.select("chunk_id", (hits if count_hits else F.least(hits, F.lit(1))).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(TOP)
-    none = exact.agg(F.count("*").alias("c")).where("c = 0")
-    return exact.unionByName(loose.join(F.broadcast(none)).select("chunk_id", "score"))
+    return chunks.select("chunk_id", (hits if count_hits else F.least(hits, F.lit(1))).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(TOP)
