@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table
+from cairn.llm.common import read_table, small_batches
 
 SPAN, ONE_IN, MIN_CHUNK, MAX_CHUNK = 16, 64, 512, 8192
 CACHE_BYTES = 48_000_000
@@ -216,7 +216,7 @@ def _brought_together(docs: DataFrame) -> DataFrame:
 
         return data.map(of, na_action="ignore").fillna(0).astype("int64")
 
-    return docs.withColumn("_key", smallest_border(F.col("text").cast("binary"))).hint("rebalance", F.col("_key")).drop("_key")
+    return small_batches(docs).withColumn("_key", smallest_border(F.col("text").cast("binary"))).hint("rebalance", F.col("_key")).drop("_key")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

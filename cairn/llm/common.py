@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows from here on unless the session says otherwise: texts are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case. For pure ASCII lower() does the same and is much faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table, written
+from cairn.llm.common import read_table, small_batches, written
 from cairn.llm.graph import components
 
 SHINGLE, SIMILAR, SLOTS, BANDS, SMALL, COUNTERS = 5, 85, 125, 25, 32, 1 << 18
@@ -30,7 +30,7 @@ _U = np.uint64
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = got = xxhash.xxh3_64_intdigest(word)
         return got
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, slots: int = SLOTS, bands: int = BANDS) -> DataF
                 prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(start, i - start), pa.array(n), prints, pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(out, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(out, "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:

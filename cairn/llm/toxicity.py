@@ -12,14 +12,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table, written
+from cairn.llm.common import read_table, small_batches, written
 
 BITS, FACTORS, MAX_TRAIN, MIN_DOCS, MIN_CHI2, EPOCHS, SEED = 18, 6, 24_000, 4, 12.0, 40, 11
 _TERM = re.compile(r"[^\W_]+(?:[*@$'][^\W_]+)*")
@@ -32,11 +31,11 @@ class _Buckets(dict):
     Terms are the lower-cased words and their beginnings of 4 to 6 letters, which inflected forms share.
     """
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > 150_000:
             self.clear()
         terms = [t for w in _TERM.findall(piece.lower()) for t in (w, *("^" + w[:k] for k in (4, 5, 6) if len(w) > k))]
-        self[piece] = got = tuple(zlib.crc32(t.encode()) & ((1 << BITS) - 1) for t in terms)
+        self[piece] = got = b"".join([(zlib.crc32(t.encode()) & ((1 << BITS) - 1)).to_bytes(4, "little") for t in terms])
         return got
 
 
@@ -47,7 +46,7 @@ def features(text: str | None) -> np.ndarray:
     """The distinct buckets of a text's terms."""
     if not text:
         return _NONE
-    return np.unique(np.fromiter(chain.from_iterable(map(_BUCKETS.__getitem__, set(text.split()))), np.int64))
+    return np.unique(np.frombuffer(b"".join(map(_BUCKETS.__getitem__, set(text.split()))), "<i4")).astype(np.int64)
 
 
 @dataclass
@@ -146,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fac
             rows = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["doc_id", "x", "toxic"])
 
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int"), "labelled_terms")
+    rows = written(small_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int"), "labelled_terms")
     total, p = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
     counts = rows.select("toxic", F.explode("x").alias("x")).groupBy("x").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
     kept = np.zeros(1 << BITS, bool)
@@ -168,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     Whole texts count, however long. Repeated rows repeat. A column named score is replaced, others pass through.
     """
-    docs = docs.drop("score")
+    docs = small_batches(docs.drop("score"))
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, np.flatnonzero(model.weights), model.weights[model.weights != 0], model.factors[model.weights != 0]))
 
