@@ -1,13 +1,13 @@
 """Embedding near-dedup by NN-descent within labels.
 
 1. Equal vectors of a label form a class; one vector stands for it.
-2. Neighbour lists start from blocks of vectors on the same side of random hyperplanes, and are refined by joining the
+2. Neighbour lists start from cells of vectors on the same side of random hyperplanes, as many as a label's size asks for, and are refined by joining the
    neighbours of every vector, forward and backward, with each other (neighbours of neighbours).
 3. A bounded sample is audited against all vectors: while links are missed that the graph does not connect, more
    hyperplane tables are added and the lists refined again.
 4. Links at the threshold are grouped. A list that is full of links is saturated and cannot hold them all; so the members
    of a group are compared with each other in blocks, which gives every link between them.
-Groups, blocks and lists of any size are dealt out in parts of bounded size.
+Groups, cells and lists of any size are dealt out in parts of bounded size, and every two parts are compared.
 """
 
 from __future__ import annotations
@@ -29,18 +29,33 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _nearest(u: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dealt(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``rows`` of each key in parts of about ``size``, so that every two parts, and each part with itself, meet in one block (keys, i, j)."""
+    parts = written(rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")), "parts")
+    rows = rows.join(parts, keys).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("parts", "other")
+
+
+def _apart(t: pa.Table) -> np.ndarray | None:
+    """Which pairs of a block are compared there: pairs within one part have a block of their own."""
+    mine = t.column("mine").to_numpy()
+    return None if t.column("i")[0] == t.column("j")[0] else mine[:, None] != mine
+
+
+def _nearest(t: pa.Table, k: int, floor: np.ndarray | None = None) -> pa.Table:
     """(src, dst, sim): up to k nearest others of each vector of a block, only those above its floor."""
+    u, ids, apart = _unit(t.column("v")), t.column("id").to_numpy(), _apart(t)
     sim = u @ u.T
     sim[ids[:, None] == ids[None, :]] = -2
-    k = min(k, len(ids) - 1)
-    if k < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    if apart is not None:
+        sim[~apart] = -2
+    k = max(0, min(k, len(ids) - 1))
+    near = np.argpartition(-sim, max(k - 1, 0), axis=1)[:, :k]
     got = np.take_along_axis(sim, near, axis=1)
     good = got > (floor[:, None] if floor is not None else -2)
     src = np.broadcast_to(ids[:, None], near.shape)[good]
-    return src, ids[near][good], got[good]
+    return pa.table({"src": src, "dst": ids[near][good], "sim": got[good]})
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -50,37 +65,32 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return written(edges.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "lists")
 
 
-def _start(vectors: DataFrame, batch: int, bits: int, k: int) -> DataFrame:
-    """Lists from TABLES hyperplane tables: (src, dst, sim)."""
+def _start(vectors: DataFrame, batch: int, k: int) -> DataFrame:
+    """Lists from TABLES hyperplane tables: (src, dst, sim). The number of planes comes from the size of each label; all vectors of a cell are compared."""
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))
+    sizes = written(vectors.groupBy("label").agg(bits.alias("bits")), "label_bits")
+    most = max(sizes.agg(F.max("bits")).first()[0] or 0, 1)
+
     def place(batches):
         for part in batches:
             u = _unit(part.column("v"))
-            planes = np.random.default_rng(SEED + batch).normal(size=(u.shape[1], TABLES * max(bits, 1)))
-            side = (u @ planes > 0).reshape(len(u), TABLES, -1)[:, :, :bits]
-            code = (side << np.arange(bits)).sum(2) * TABLES + np.arange(TABLES)
+            planes = np.random.default_rng(SEED + batch).normal(size=(u.shape[1], TABLES * most))
+            side = (u @ planes > 0).reshape(len(u), TABLES, -1) & (np.arange(most) < part.column("bits").to_numpy()[:, None])[:, None]
+            code = (side << np.arange(most)).sum(2) * TABLES + np.arange(TABLES)
             at = np.repeat(np.arange(len(u)), TABLES)
             yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "label", "v")), pa.array(code.ravel().astype(np.int64))], ["id", "label", "v", "code"])
 
-    def within(t: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("src", "dst", "sim"), map(pa.array, _nearest(_unit(t.column("v")), t.column("id").to_numpy(), k)))))
-
-    placed = vectors.mapInArrow(place, "id long, label long, v array<float>, code long")
-    many = written(placed.select("label", "code").groupBy("label", "code").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "block_sizes")
-    placed = placed.join(many, ["label", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "code"), F.col("parts")))
-    return placed.groupBy("label", "code", "part").applyInArrow(within, "src long, dst long, sim double")
+    placed = vectors.join(sizes, "label").mapInArrow(place, "id long, label long, v array<float>, code long")
+    return _dealt(placed, ["label", "code"], BLOCK).groupBy("label", "code", "i", "j").applyInArrow(lambda t: _nearest(t, k), "src long, dst long, sim double")
 
 
 def _descend(vectors: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """What joining the neighbours of each vector with each other adds: entries better than the worst in the list."""
-    def within(t: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("src", "dst", "sim"), map(pa.array, _nearest(_unit(t.column("v")), t.column("id").to_numpy(), k, t.column("worst").to_numpy())))))
-
     worst = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst")).withColumnRenamed("src", "id")
     near = lists.select("src", F.col("dst").alias("id")).union(lists.select(F.col("dst").alias("src"), F.col("src").alias("id"))).union(lists.select("src", F.col("src").alias("id"))).distinct()
-    parts = near.groupBy("src").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    near = written(near, "near").join(written(parts, "parts"), "src").withColumn("part", F.pmod(F.xxhash64("id", "src"), F.col("parts")))
+    near = _dealt(written(near, "near"), ["src"], PART)
     full = near.join(vectors.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(-2.0)).alias("worst")), "id")
-    return full.groupBy("src", "part").applyInArrow(within, "src long, dst long, sim double")
+    return full.groupBy("src", "i", "j").applyInArrow(lambda t: _nearest(t, k, t.column("worst").to_numpy()), "src long, dst long, sim double")
 
 
 def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> tuple[DataFrame, int, int]:
@@ -107,19 +117,15 @@ def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample:
 
 def _links_within(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
     """(id, links): the sizes of the classes that a class links to, summed; all members of a group are compared, in blocks."""
-    sizes = written(groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "group_sizes")
-    rows = vectors.join(groups, "id").join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "size", "v")
-
     def block(t: pa.Table) -> pa.Table:
-        u, ids, size, mine = _unit(t.column("v")), t.column("id").to_numpy(), t.column("size").to_numpy(), t.column("mine").to_numpy()
+        u, ids, size, apart = _unit(t.column("v")), t.column("id").to_numpy(), t.column("size").to_numpy(), _apart(t)
         near = u @ u.T >= cosine
         np.fill_diagonal(near, False)
-        if t.column("i")[0] != t.column("j")[0]:
-            near &= mine[:, None] != mine
+        if apart is not None:
+            near &= apart
         return pa.table({"id": ids, "links": (near * size).sum(1).astype(np.int64)})
 
+    rows = _dealt(vectors.join(groups, "id"), ["component"], GROUP).select("component", "i", "j", "mine", "id", "size", "v")
     return rows.groupBy("component", "i", "j").applyInArrow(block, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
@@ -137,11 +143,9 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST
     rows = written(embeddings.where(fine).select("vec_id", label.alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v")), "rows")
     classes = written(rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "classes")
     vectors = written(classes.join(rows.withColumnRenamed("vec_id", "id"), ["label", "h1", "h2", "id"]).dropDuplicates(["id", "label", "h1", "h2"]).select("id", "label", F.col("size"), "v"), "vectors")
-    n, labels = vectors.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, n / max(1, labels) / BLOCK)))))
     lists, groups, extra = None, None, None
     for batch in range(MAX_BATCHES):
-        found = _start(vectors, batch, bits, k)
+        found = _start(vectors, batch, k)
         lists = _best(found if lists is None else found.unionByName(lists), k)
         lists = _best(lists.unionByName(_descend(vectors, lists, k)), k)
         links = lists.where(F.col("sim") >= cosine).select(F.col("src").alias("a"), F.col("dst").alias("b"))

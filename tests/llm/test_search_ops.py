@@ -193,6 +193,29 @@ def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
     assert embedding_dedup.embedding_dedup(df.where("vec_id = 3")).count() == 1
 
 
+def test_embedding_dedup_finds_pairs_in_a_hot_label(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(embedding_dedup, "MAX_BATCHES", 1)
+    monkeypatch.setattr(embedding_dedup, "audit", lambda vectors, *_: (vectors.selectExpr("id a", "id b").limit(0), 0, 0))
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(2400, 24))
+    x = np.concatenate([base, base[:300] + rng.normal(scale=0.25, size=(300, 24)), rng.normal(size=(200, 24))]).astype(np.float32)
+    rows = [(i, v.tolist(), 0 if i < 2700 else i) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [i for i in range(300) if u[i] @ u[2400 + i] >= 0.931]
+    got = {r.vec_id: r.component_id for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert len(pairs) > 200 and np.mean([got[i] == got[2400 + i] for i in pairs]) > 0.97
+
+
+def test_all_parts_of_an_overfull_cell_meet(spark):
+    rows = spark.range(100).selectExpr("1 k", "id")
+    met = set()
+    for t in embedding_dedup._dealt(rows, ["k"], 10).toPandas().groupby(["i", "j"]):
+        met |= {(a, b) for a in t[1].id for b in t[1].id if a != b}
+    assert len(met) == 100 * 99
+
+
 # --- toxicity
 
 
