@@ -197,7 +197,7 @@ def test_embedding_dedup_finds_pairs_in_a_hot_label(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
     monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
     monkeypatch.setattr(embedding_dedup, "MAX_BATCHES", 1)
-    monkeypatch.setattr(embedding_dedup, "audit", lambda vectors, *_: (vectors.selectExpr("id a", "id b").limit(0), 0, 0))
+    monkeypatch.setattr(embedding_dedup, "audit", lambda vectors, *_: (vectors.selectExpr("id a", "id b").limit(0), 1.0))
     rng = np.random.default_rng(2)
     base = rng.normal(size=(2400, 24))
     x = np.concatenate([base, base[:300] + rng.normal(scale=0.25, size=(300, 24)), rng.normal(size=(200, 24))]).astype(np.float32)
@@ -216,6 +216,18 @@ def test_all_parts_of_an_overfull_cell_meet(spark):
     assert len(met) == 100 * 99
 
 
+def test_embedding_dedup_does_not_pass_with_small_groups_missed(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "MAX_BATCHES", 2)
+    found = embedding_dedup.components
+    monkeypatch.setattr(embedding_dedup, "components", lambda links: found(links.where("a < 200 AND b < 200")))
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(40, 24))
+    x = np.concatenate([rng.normal(size=24) + rng.normal(scale=0.05, size=(200, 24)), base, base + rng.normal(scale=0.05, size=(40, 24))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.embedding_dedup(df)
+
+
 # --- toxicity
 
 
