@@ -2,12 +2,14 @@
 
 1. Equal vectors of a label form a class; one vector stands for it.
 2. Neighbour lists start from cells of vectors on the same side of random hyperplanes, as many as a label's size asks for, and are refined by joining the
-   neighbours of every vector, forward and backward, with each other (neighbours of neighbours).
+   neighbours of every vector, forward and backward, with each other (neighbours of neighbours), until few entries change.
+   Whatever a comparison connects is kept as links besides the lists. A list that is full of links is saturated and may
+   lack others; its vector gets a list of neighbours outside its group, until no such list is saturated.
 3. A bounded sample, a new one each time, is audited against all vectors: while recall, the mean share of a vector's
    links that the graph connects, is under TARGET, more hyperplane tables are added and the lists refined again; if that
    does not help, an error is raised. Missed links that the audit finds are added in any case.
-4. Links at the threshold are grouped. A list that is full of links is saturated and cannot hold them all; so the members
-   of a group are compared with each other in blocks, which gives every link between them.
+4. Links at the threshold are grouped, and the members of a group are compared with each other in blocks, which gives
+   every link between them.
 Groups, cells and lists of any size are dealt out in parts of bounded size, and every two parts are compared.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import read_table, written
 from cairn.llm.graph import components
 
-COSINE, LIST, TABLES, BLOCK, GROUP, PART, SAMPLE, TARGET, MAX_BATCHES, SEED = 0.93, 8, 6, 512, 256, 64, 256, 0.995, 5, 5
+COSINE, LIST, TABLES, BLOCK, GROUP, PART, SAMPLE, TARGET, MAX_BATCHES, SEED, DELTA = 0.93, 8, 6, 512, 256, 64, 256, 0.995, 5, 5, 0.001
 
 
 def _unit(column: pa.ChunkedArray) -> np.ndarray:
@@ -44,30 +46,53 @@ def _apart(t: pa.Table) -> np.ndarray | None:
     return None if t.column("i")[0] == t.column("j")[0] else mine[:, None] != mine
 
 
-def _nearest(t: pa.Table, k: int, floor: np.ndarray | None = None) -> pa.Table:
-    """(src, dst, sim): up to k nearest others of each vector of a block, only those above its floor."""
-    u, ids, apart = _unit(t.column("v")), t.column("id").to_numpy(), _apart(t)
+def _forest(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what the pairs ``near`` of a block connect, at most one for each vector."""
+    rows = np.flatnonzero(near.any(1))
+    near, ids = near[np.ix_(rows, rows)], ids[rows]
+    top, before = ids, None
+    while before is None or (top != before).any():
+        before, top = top, np.minimum(top, np.where(near, top, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
+    return ids[ids != top], top[ids != top]
+
+
+def _nearest(t: pa.Table, k: int, cosine: float) -> pa.Table:
+    """Of a block: (src, dst, sim), up to k nearest others of each vector above its floor, and (src, dst, null) for what its links connect.
+
+    Vectors of one group, as far as groups are known, do not count as others.
+    """
+    u, ids, g, floor, apart = _unit(t.column("v")), *(t.column(c).to_numpy() for c in ("id", "g", "floor")), _apart(t)
     sim = u @ u.T
-    sim[ids[:, None] == ids[None, :]] = -2
+    sim[g[:, None] == g] = -2
     if apart is not None:
         sim[~apart] = -2
+    a, b = _forest(sim >= cosine, ids)
     k = max(0, min(k, len(ids) - 1))
     near = np.argpartition(-sim, max(k - 1, 0), axis=1)[:, :k]
     got = np.take_along_axis(sim, near, axis=1)
-    good = got > (floor[:, None] if floor is not None else -2)
+    good = got > floor[:, None]
     src = np.broadcast_to(ids[:, None], near.shape)[good]
-    return pa.table({"src": src, "dst": ids[near][good], "sim": got[good]})
+    found = pa.table({"src": src, "dst": ids[near][good], "sim": got[good]})
+    return pa.concat_tables([found, pa.table({"src": a, "dst": b, "sim": pa.nulls(len(a), pa.float64())})])
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each list."""
+def _best(edges: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
+    """The k best entries of each list, and which of them are new to ``old``."""
+    edges = edges if old is None else edges.unionByName(old.drop("new"))
     edges = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    return written(edges.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "lists")
+    edges = edges.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    if old is None:
+        return written(edges.withColumn("new", F.lit(True)), "lists")
+    known = old.select("src", "dst", F.lit(False).alias("new"))
+    return written(edges.join(known, ["src", "dst"], "left").withColumn("new", F.coalesce("new", F.lit(True))), "lists")
+
+
+_FOUND = "src long, dst long, sim double"
 
 
-def _start(vectors: DataFrame, batch: int, k: int) -> DataFrame:
-    """Lists from TABLES hyperplane tables: (src, dst, sim). The number of planes comes from the size of each label; all vectors of a cell are compared."""
+def _start(vectors: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
+    """What TABLES hyperplane tables find. The number of planes comes from the size of each label; all vectors of a cell are compared."""
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))
     sizes = written(vectors.groupBy("label").agg(bits.alias("bits")), "label_bits")
     most = max(sizes.agg(F.max("bits")).first()[0] or 0, 1)
@@ -75,23 +100,47 @@ def _start(vectors: DataFrame, batch: int, k: int) -> DataFrame:
     def place(batches):
         for part in batches:
             u = _unit(part.column("v"))
-            planes = np.random.default_rng(SEED + batch).normal(size=(u.shape[1], TABLES * most))
+            planes = np.random.default_rng(seed).normal(size=(u.shape[1], TABLES * most))
             side = (u @ planes > 0).reshape(len(u), TABLES, -1) & (np.arange(most) < part.column("bits").to_numpy()[:, None])[:, None]
             code = (side << np.arange(most)).sum(2) * TABLES + np.arange(TABLES)
             at = np.repeat(np.arange(len(u)), TABLES)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "label", "v")), pa.array(code.ravel().astype(np.int64))], ["id", "label", "v", "code"])
+            names = ["id", "label", "v", "g", "floor"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in names), pa.array(code.ravel().astype(np.int64))], [*names, "code"])
 
-    placed = vectors.join(sizes, "label").mapInArrow(place, "id long, label long, v array<float>, code long")
-    return _dealt(placed, ["label", "code"], BLOCK).groupBy("label", "code", "i", "j").applyInArrow(lambda t: _nearest(t, k), "src long, dst long, sim double")
+    placed = vectors.join(sizes, "label").mapInArrow(place, "id long, label long, v array<float>, g long, floor double, code long")
+    return _dealt(placed, ["label", "code"], BLOCK).groupBy("label", "code", "i", "j").applyInArrow(lambda t: _nearest(t, k, cosine), _FOUND)
 
 
-def _descend(vectors: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """What joining the neighbours of each vector with each other adds: entries better than the worst in the list."""
+def _descend(vectors: DataFrame, lists: DataFrame, other: DataFrame | None, k: int, cosine: float) -> DataFrame:
+    """What joining the neighbours of each vector, by ``lists`` and ``other`` lists, with each other finds. Vectors without new neighbours are left out."""
     worst = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst")).withColumnRenamed("src", "id")
-    near = lists.select("src", F.col("dst").alias("id")).union(lists.select(F.col("dst").alias("src"), F.col("src").alias("id"))).union(lists.select("src", F.col("src").alias("id"))).distinct()
-    near = _dealt(written(near, "near"), ["src"], PART)
-    full = near.join(vectors.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(-2.0)).alias("worst")), "id")
-    return full.groupBy("src", "i", "j").applyInArrow(lambda t: _nearest(t, k, t.column("worst").to_numpy()), "src long, dst long, sim double")
+    edges = lists.select("src", "dst", "new")
+    edges = edges if other is None else edges.unionByName(other.select("src", "dst", F.lit(False).alias("new")))
+    near = edges.select("src", F.col("dst").alias("id"), "new").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("id"), "new"))
+    near = near.union(edges.select("src", F.col("src").alias("id"), "new")).union(edges.select(F.col("dst").alias("src"), F.col("dst").alias("id"), "new"))
+    near = written(near.groupBy("src", "id").agg(F.max("new").alias("new")), "near")
+    near = _dealt(written(near.join(near.where("new").select("src").distinct(), "src", "left_semi").select("src", "id"), "near_new"), ["src"], PART)
+    full = near.join(vectors.join(worst, "id", "left").select("id", "v", "g", F.greatest("floor", "worst").alias("floor")), "id")
+    return full.groupBy("src", "i", "j").applyInArrow(lambda t: _nearest(t, k, cosine), _FOUND)
+
+
+def _search(vectors: DataFrame, lists: DataFrame | None, other: DataFrame | None, links: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """``lists`` and ``links``, if any, with what one NN-descent adds: neighbours are joined until few entries change."""
+    few = DELTA * k * vectors.where("floor < 2").count()
+    found = _start(vectors, seed, k, cosine)
+    while True:
+        found = written(found, "found")
+        lists = _best(found.where("sim IS NOT NULL"), lists, k)
+        more = found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        links = more if links is None else links.unionByName(more)
+        if lists.where("new").count() <= few:
+            return lists, links
+        found = _descend(vectors, lists, other, k, cosine)
+
+
+def _saturated(lists: DataFrame, k: int, cosine: float) -> DataFrame:
+    """The ids whose lists are full of links, so that more may be there."""
+    return written(lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= cosine)).select(F.col("src").alias("id")), "saturated")
 
 
 def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, float]:
@@ -148,13 +197,16 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST
     rows = written(embeddings.where(fine).select("vec_id", label.alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v")), "rows")
     classes = written(rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "classes")
     vectors = written(classes.join(rows.withColumnRenamed("vec_id", "id"), ["label", "h1", "h2", "id"]).dropDuplicates(["id", "label", "h1", "h2"]).select("id", "label", F.col("size"), "v"), "vectors")
-    lists, groups, extra = None, None, None
+    lists, links, extra = None, None, None
     for batch in range(MAX_BATCHES):
-        found = _start(vectors, batch, k)
-        lists = _best(found if lists is None else found.unionByName(lists), k)
-        lists = _best(lists.unionByName(_descend(vectors, lists, k)), k)
-        links = lists.where(F.col("sim") >= cosine).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        groups = written(components(links if extra is None else links.unionByName(extra)), "groups")
+        lists, links = _search(vectors.withColumns({"g": F.col("id"), "floor": F.lit(-2.0)}), lists, None, links, SEED + batch, k, cosine)
+        groups, full, turn = written(components(links), "groups"), _saturated(lists, k, cosine), 0
+        while full.count():
+            turn += 1
+            known = vectors.join(groups, "id", "left").join(full.withColumn("open", F.lit(True)), "id", "left")
+            known = known.select("id", "label", "v", F.coalesce("component", "id").alias("g"), F.when(F.col("open"), -2.0).otherwise(2.0).alias("floor"))
+            outside, links = _search(written(known, "known"), None, lists, links, SEED + batch + 1000 * turn, k, cosine)
+            groups, full = written(components(links), "groups"), _saturated(outside, k, cosine)
         missed, recall = audit(vectors, groups, cosine, SAMPLE, SEED + batch)
         extra = missed if extra is None else extra.unionByName(missed)
         if recall >= TARGET:

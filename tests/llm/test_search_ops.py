@@ -228,6 +228,24 @@ def test_embedding_dedup_does_not_pass_with_small_groups_missed(spark, monkeypat
         embedding_dedup.embedding_dedup(df)
 
 
+def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
+    rng = np.random.default_rng(4)
+    turn = np.arccos(0.935)
+    bridge = np.zeros((2, 24))
+    bridge[0, 0], bridge[1, :2] = 1, (np.cos(turn), np.sin(turn))
+    away = np.zeros((2, 24))
+    away[0, :2], away[1, :2] = (np.cos(0.15), -np.sin(0.15)), (np.cos(turn + 0.15), np.sin(turn + 0.15))
+    x = np.concatenate([bridge, *(c + rng.normal(scale=0.008, size=(40, 24)) for c in away)])
+    u = x.astype(np.float32) / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    near[0, 1] = near[1, 0] = False
+    assert len(set(grouped(len(x), np.argwhere(near).tolist()))) == 2
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.component_id, r.n_links) for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert {c for c, _ in got.values()} == {0} and got[0][1] == near[0].sum()  # less itself, more the bridge
+
+
 # --- toxicity
 
 
