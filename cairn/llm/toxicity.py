@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import read_table, small_batches, written
 
-BITS, FACTORS, MAX_TRAIN, MIN_DOCS, MIN_CHI2, EPOCHS, SEED = 18, 6, 24_000, 4, 12.0, 40, 11
+BITS, FACTORS, MAX_TRAIN, MIN_DOCS, EPOCHS, SEED = 18, 6, 24_000, 4, 40, 11
 _TERM = re.compile(r"[^\W_]+(?:[*@$'][^\W_]+)*")
 _NONE = np.zeros(0, np.int64)
 
@@ -60,7 +60,8 @@ class FactorizationMachine:
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         """The score before the sigmoid of each row of buckets."""
         out = np.full(len(rows), self.bias)
-        live = [x[self.weights[x] != 0] for x in rows]
+        on = (self.weights != 0) | self.factors.any(axis=1)
+        live = [x[on[x]] for x in rows]
         n = np.array([len(x) for x in live], np.int64)
         if n.sum():
             flat, of = np.concatenate(live), np.repeat(np.arange(len(rows)), n)
@@ -75,15 +76,9 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -35, 35)))
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Buckets held by MIN_DOCS documents or more with label 1 more often than the rest, by a chi-square of MIN_CHI2 or more."""
-    count = lambda of: np.bincount(np.concatenate([_NONE, *of]), minlength=size).astype(float)
-    return np.flatnonzero(_tells(count([x for x, y in zip(rows, labels) if y == 1]), count(rows), labels.mean(), len(rows)))
-
-
-def _tells(a: np.ndarray, n: np.ndarray, p: float, total: int) -> np.ndarray:
-    chi2 = (a - n * p) ** 2 / np.maximum(n * p * (1 - p) * (1 - n / max(total, 1)), 1e-9)
-    return (n >= MIN_DOCS) & (a > n * p) & (chi2 >= MIN_CHI2)
+def _held(rows: list[np.ndarray], size: int) -> np.ndarray:
+    """Buckets held by MIN_DOCS rows or more, whatever the labels of those rows."""
+    return np.flatnonzero(np.bincount(np.concatenate([_NONE, *rows]), minlength=size) >= MIN_DOCS)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-6, seed: int = SEED) -> FactorizationMachine:
@@ -93,7 +88,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     model = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)))
     if not len(rows) or labels.min() == labels.max():
         return model
-    kept = _telling(rows, labels, size)
+    kept = _held(rows, size)
     model.weights[kept] = 1e-9
     model.factors[kept] = rng.normal(0, 0.01, (len(kept), FACTORS))
     rows = [x[model.weights[x] != 0] for x in rows]
@@ -108,23 +103,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
                 continue
             flat, of = np.concatenate([rows[k] for k in part]), np.repeat(np.arange(len(part)), n)
             v, w = model.factors[flat], model.weights[flat]
-            s = np.zeros((len(part), FACTORS))
-            np.add.at(s, of, v)
+            s = np.stack([np.bincount(of, v[:, f], len(part)) for f in range(FACTORS)], axis=1)
             raw = model.bias + np.bincount(of, w, len(part)) + 0.5 * ((s * s).sum(1) - np.bincount(of, (v * v).sum(1), len(part)))
             err = 1 / (1 + np.exp(-np.clip(raw, -35, 35))) - y
             model.bias -= rate * err.mean() / np.sqrt(gb)
             gb += err.mean() ** 2
             ids, at = np.unique(flat, return_inverse=True)
             dw = np.bincount(at, err[of], len(ids)) + decay * 64 * model.weights[ids]
-            dv = np.zeros((len(ids), FACTORS))
-            np.add.at(dv, at, err[of, None] * (s[of] - v))
+            dv = np.stack([np.bincount(at, err[of] * (s[of, f] - v[:, f]), len(ids)) for f in range(FACTORS)], axis=1)
             dv += decay * 64 * model.factors[ids]
             gw[ids] += dw * dw
             gv[ids] += dv * dv
             model.weights[ids] -= rate * dw / np.sqrt(gw[ids])
             model.factors[ids] -= rate * dv / np.sqrt(gv[ids])
-    # numbers near zero carry nothing but noise of long texts
-    small = np.abs(model.weights) < 0.02
+    # a term goes only if its weight and its factors are both near zero
+    small = (np.abs(model.weights) < 0.02) & (np.linalg.norm(model.factors, axis=1) < 0.02)
     model.weights[small] = 0
     model.factors[small] = 0
     return model
@@ -133,7 +126,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fits on the labelled documents whose crc32(doc_id) mod 5 is not 0, at most ``max_train`` of them, picked by hash.
 
-    The sample holds max_train rows at most, so it is broadcast. Only the counts of the 2^BITS buckets and the rows' telling buckets come to the driver.
+    The sample holds max_train rows at most, so it is broadcast. Only the counts of the 2^BITS buckets and the rows' buckets that MIN_DOCS of them hold come to the driver.
 
     Rows with a null label, or with a label for no document, are left out.
     """
@@ -146,10 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fac
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["doc_id", "x", "toxic"])
 
     rows = written(small_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int"), "labelled_terms")
-    total, p = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
-    counts = rows.select("toxic", F.explode("x").alias("x")).groupBy("x").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
+    counts = rows.select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
     kept = np.zeros(1 << BITS, bool)
-    kept[counts.column("x").to_numpy()[_tells(*(counts.column(c).to_numpy().astype(float) for c in ("a", "n")), p, total)]] = True
+    kept[counts.column("x").to_numpy()] = True
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +161,8 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """
     docs = small_batches(docs.drop("score"))
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, np.flatnonzero(model.weights), model.weights[model.weights != 0], model.factors[model.weights != 0]))
+    on = (model.weights != 0) | model.factors.any(axis=1)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, np.flatnonzero(on), model.weights[on], model.factors[on]))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, ids, w, v = shared.value
