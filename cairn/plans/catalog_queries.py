@@ -173,7 +173,7 @@ def card_anchors(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i, gram FROM (SELECT doc_id, gram, min(i) AS r FROM (SELECT doc_id, i, substr(t, i, 3) AS gram FROM (SELECT doc_id, trim(substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), LATERAL (SELECT unnest(range(1, greatest(length(t) - 1, 1))) AS i)) GROUP BY ALL)")
 def trigrams_in_order(spark, d):
-    out = table(spark, d, "documents").select("doc_id", F.posexplode(T.trigrams(F.substring("text", 1, 60))).alias("p", "gram"))
+    out = table(spark, d, "documents").select("doc_id", F.posexplode(T.trigrams(F.col("text"))).alias("p", "gram"))
     return out.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "gram")
 
 

@@ -165,3 +165,13 @@ def test_small_rules(spark):
     assert [r.part for r in K.thirds(seven, "k", "o").orderBy("o").collect()] == [0, 0, 0, 1, 1, 1, 2]
     left, right = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "l int, ks array<string>"), spark.createDataFrame([(9, ["b", "a"])], "r int, ms array<string>")
     assert rows(K.key_overlap(left, right, "ks", "ms"), "l", "r") == [(1, 9)]
+
+
+def test_trigrams_in_order_reads_whole_texts(spark, tmp_path):
+    from cairn.plans.catalog_queries import trigrams_in_order
+
+    texts = ["abc" * 30 + " and the end behind sixty", "  ab ", None, " ".join(f"w{i}" for i in range(300))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.i, r.gram) for r in trigrams_in_order(spark, f"file://{tmp_path}").collect())
+    want = [(d, i + 1, g) for d, t in enumerate(texts) for i, g in enumerate(dict.fromkeys(x[k : k + 3] for x in [(t or "").strip()] for k in range(len(x) - 2)))]
+    assert got == want
