@@ -31,16 +31,16 @@ def _keys(text: Column, min_chars: int) -> Column:
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text`` added.
 
-    Every row is a document. Null and empty texts are one empty line and stay as such (kept_text ''); keys under
+    Null and empty texts are one empty line and stay as such (kept_text ''); keys under
     ``min_chars`` code points never count. A line is compared by 128 hash bits of its key. Repeated rows with one
-    doc_id count as so many documents; a null doc_id ranks below every other. Very long texts are handled in linear
+    doc_id count as one document; a null doc_id ranks below every other. Very long texts are handled in linear
     time. Further columns pass through; they may carry any name but the three added ones, which replace them.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     who = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     rows = written(docs.select(who.alias("_d"), F.xxhash64("text").alias("_t"), _keys(F.col("text"), min_chars).alias("_k")).where(F.size("_k") > 0), "line_keys")
     one_each = F.explode(F.array_distinct(F.transform("_k", lambda x: F.struct(x.h1, x.h2)))).alias("_e")
-    shared = (rows.select("_d", one_each).groupBy(F.col("_e.h1").alias("h1"), F.col("_e.h2").alias("h2"))
+    shared = (rows.select("_d", one_each).distinct().groupBy(F.col("_e.h1").alias("h1"), F.col("_e.h2").alias("h2"))
               .agg(F.count("*").alias("_n"), F.max("_d").alias("_last")).where(F.col("_n") >= min_docs))
     shared = written(shared.select("h1", "h2", "_last"), "shared_lines")
     found = rows.select("_d", "_t", F.explode("_k").alias("_e")).select("_d", "_t", "_e.h1", "_e.h2", "_e.pos")

@@ -53,6 +53,12 @@ def test_line_dedup_bears_repeats_nulls_and_no_rows(spark):
     assert line_dedup.line_dedup(documents(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "the same line in all of them"
+    got = line_dedup.line_dedup(spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (1, 0), (2, 0)]
+
+
 # --- mixing
 
 
