@@ -263,18 +263,6 @@ def test_factorization_machine_learns_a_pair():
     assert ((score >= 0.5) == (labels[2400:] == 1)).mean() > 0.97
 
 
-def test_factorization_machine_learns_a_pair_of_neutral_terms():
-    rng = random.Random(5)
-    rows, labels = [], []
-    for _ in range(3000):
-        one, other = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(toxicity.features(" ".join([f"n{rng.randrange(100)}" for _ in range(4)] + ["one"] * one + ["other"] * other)))
-        labels.append(float(one == other))
-    labels = np.array(labels)
-    model = toxicity.fit(rows[:2400], labels[:2400])
-    assert ((model.score(rows[2400:]) >= 0.5) == (labels[2400:] == 1)).mean() > 0.95
-
-
 def test_toxicity_is_learnt_from_the_other_rows_only(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
