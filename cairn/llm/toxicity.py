@@ -2,6 +2,7 @@
 
 score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), x_i = 1 for every distinct term of
 the whole text. The pair part learns what additive weights miss, such as an insult beside the mention of a group.
+Terms enter by how many documents hold them, never by their labels.
 It is fitted on a bounded sample of labelled rows, chosen by hash; the model's size is fixed by its parameters. Scoring
 runs in Arrow batches over all documents.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import read_table, small_batches, written
 
-BITS, FACTORS, MAX_TRAIN, MIN_DOCS, MIN_CHI2, EPOCHS, SEED = 18, 6, 24_000, 4, 12.0, 40, 11
+BITS, FACTORS, MAX_TRAIN, MIN_DOCS, EPOCHS, LEAST, SEED = 18, 6, 20_000, 4, (8, 6, 10), 0.1, 11
 _TERM = re.compile(r"[^\W_]+(?:[*@$'][^\W_]+)*")
 _NONE = np.zeros(0, np.int64)
 
@@ -51,16 +52,21 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class FactorizationMachine:
-    """bias, weights (2^BITS) and factors (2^BITS, FACTORS); buckets that too few training documents hold stay at zero."""
+    """bias, weights (2^BITS) and factors (2^BITS, FACTORS), and which buckets have either."""
 
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    live: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.live is None:
+            self.live = (self.weights != 0) | self.factors.any(1)
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         """The score before the sigmoid of each row of buckets."""
         out = np.full(len(rows), self.bias)
-        live = [x[self.weights[x] != 0] for x in rows]
+        live = [x[self.live[x]] for x in rows]
         n = np.array([len(x) for x in live], np.int64)
         if n.sum():
             flat, of = np.concatenate(live), np.repeat(np.arange(len(rows)), n)
@@ -75,67 +81,76 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -35, 35)))
 
 
-def _telling(rows: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """Buckets held by MIN_DOCS documents or more with label 1 more often than the rest, by a chi-square of MIN_CHI2 or more."""
-    count = lambda of: np.bincount(np.concatenate([_NONE, *of]), minlength=size).astype(float)
-    return np.flatnonzero(_tells(count([x for x, y in zip(rows, labels) if y == 1]), count(rows), labels.mean(), len(rows)))
-
-
-def _tells(a: np.ndarray, n: np.ndarray, p: float, total: int) -> np.ndarray:
-    chi2 = (a - n * p) ** 2 / np.maximum(n * p * (1 - p) * (1 - n / max(total, 1)), 1e-9)
-    return (n >= MIN_DOCS) & (a > n * p) & (chi2 >= MIN_CHI2)
-
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: tuple[int, int, int] = EPOCHS, rate: float = 0.1, factor_rate: float = 0.03, l1: float = 0.01, l2: float = 1e-3, batch: int | None = None, seed: int = SEED) -> FactorizationMachine:
+    """Minibatch AdaGrad on the log loss, in three phases: weights alone, weights and factors, weights beside the factors that grew.
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-6, seed: int = SEED) -> FactorizationMachine:
-    """Minibatch AdaGrad on the log loss. With labels of one kind, or none, the score is their smoothed share."""
+    Weights pay an L1 penalty that is smaller the further a term's labels are from the mean, so that noise of long texts
+    ends at zero; no term is left out for it. Factors start small and grow only where weights alone cannot explain the
+    labels, as for two terms that are neutral alone; a term whose factors stay within LEAST has none in the last phase.
+    With labels of one kind, or none, the score is their smoothed share.
+    """
     rng, size = np.random.default_rng(seed), 1 << BITS
+    batch = batch or min(512, max(16, len(rows) // 16))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     model = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)))
     if not len(rows) or labels.min() == labels.max():
         return model
-    kept = _telling(rows, labels, size)
-    model.weights[kept] = 1e-9
-    model.factors[kept] = rng.normal(0, 0.01, (len(kept), FACTORS))
-    rows = [x[model.weights[x] != 0] for x in rows]
-    gw, gv, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for i in range(0, len(order), 64):
-            part = order[i : i + 64]
-            n = np.array([len(rows[k]) for k in part])
-            y = labels[part]
-            if not n.sum():
-                continue
-            flat, of = np.concatenate([rows[k] for k in part]), np.repeat(np.arange(len(part)), n)
-            v, w = model.factors[flat], model.weights[flat]
-            s = np.zeros((len(part), FACTORS))
-            np.add.at(s, of, v)
-            raw = model.bias + np.bincount(of, w, len(part)) + 0.5 * ((s * s).sum(1) - np.bincount(of, (v * v).sum(1), len(part)))
-            err = 1 / (1 + np.exp(-np.clip(raw, -35, 35))) - y
-            model.bias -= rate * err.mean() / np.sqrt(gb)
+    held = np.bincount(np.concatenate([_NONE, *rows]), minlength=size)
+    terms = np.flatnonzero(held >= MIN_DOCS)
+    place = np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    flat, count = place[np.concatenate([_NONE, *rows])], np.array([len(x) for x in rows])
+    count = np.bincount(np.repeat(np.arange(len(rows)), count)[flat >= 0], minlength=len(rows))
+    flat = flat[flat >= 0].astype(np.int32)
+    begin, k, mean = np.cumsum(count) - count, len(terms), labels.mean()
+    if not len(flat):
+        return model
+    with_one, n = np.bincount(flat, np.repeat(labels, count), k), held[terms]
+    z = (with_one - n * mean) / np.sqrt(n * mean * (1 - mean))
+    l1 = l1 * np.minimum(1, 1 / np.maximum(z * z, 1e-9))
+    w, v = np.zeros(k), rng.normal(0, 0.01, (k, FACTORS)).astype(np.float32)
+    gw, gv, gb, bias = np.full(k, 0.01), np.full((k, FACTORS), 100, np.float32), 0.01, model.bias
+    for epoch in range(sum(epochs)):
+        pairs, grow = epoch >= epochs[0], epochs[0] <= epoch < epochs[0] + epochs[1]
+        if epoch == epochs[0] + epochs[1]:
+            v[(v * v).sum(1) < LEAST * LEAST] = 0
+            pairs = v.any()
+        order = rng.permutation(np.flatnonzero(count))
+        for i in range(0, len(order), batch):
+            part = order[i : i + batch]
+            m = count[part]
+            first, of = np.cumsum(m) - m, np.repeat(np.arange(len(part)), m)
+            ids = flat[np.repeat(begin[part] - first, m) + np.arange(len(of))]
+            raw = bias + np.add.reduceat(w[ids], first)
+            if pairs:
+                x = v[ids]
+                s = np.add.reduceat(x, first, axis=0)
+                raw += 0.5 * ((s * s).sum(1) - np.add.reduceat((x * x).sum(1), first))
+            err = 1 / (1 + np.exp(-np.clip(raw, -35, 35))) - labels[part]
             gb += err.mean() ** 2
-            ids, at = np.unique(flat, return_inverse=True)
-            dw = np.bincount(at, err[of], len(ids)) + decay * 64 * model.weights[ids]
-            dv = np.zeros((len(ids), FACTORS))
-            np.add.at(dv, at, err[of, None] * (s[of] - v))
-            dv += decay * 64 * model.factors[ids]
-            gw[ids] += dw * dw
-            gv[ids] += dv * dv
-            model.weights[ids] -= rate * dw / np.sqrt(gw[ids])
-            model.factors[ids] -= rate * dv / np.sqrt(gv[ids])
-    # numbers near zero carry nothing but noise of long texts
-    small = np.abs(model.weights) < 0.02
-    model.weights[small] = 0
-    model.factors[small] = 0
+            bias -= rate * err.mean() / np.sqrt(gb)
+            dw = np.bincount(ids, err[of], k)
+            gw += dw * dw
+            step = rate / np.sqrt(gw)
+            w -= step * dw
+            w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1 * len(part))
+            if grow:
+                dx = err.astype(np.float32)[of, None] * (s[of] - x)
+                for f in range(FACTORS):
+                    d = np.bincount(ids, dx[:, f], k).astype(np.float32) + l2 * len(part) * v[:, f]
+                    gv[:, f] += d * d
+                    v[:, f] -= factor_rate * d / np.sqrt(gv[:, f])
+    model.bias, model.weights[terms], model.factors[terms] = float(bias), w, v
+    model.live = (model.weights != 0) | model.factors.any(1)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fits on the labelled documents whose crc32(doc_id) mod 5 is not 0, at most ``max_train`` of them, picked by hash.
 
-    The sample holds max_train rows at most, so it is broadcast. Only the counts of the 2^BITS buckets and the rows' telling buckets come to the driver.
-
-    Rows with a null label, or with a label for no document, are left out.
+    The picked ids are max_train at most, so they are broadcast; their terms that MIN_DOCS of them hold come to the driver,
+    one row per doc_id. Rows with a null label, or with a label for no document, are left out; of rows that repeat a doc_id
+    the greatest label and the greatest list of terms count. Empty tables give a model that scores every text 0.5.
     """
     wanted = (labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
@@ -145,20 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fac
             rows = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["doc_id", "x", "toxic"])
 
-    rows = written(small_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int"), "labelled_terms")
-    total, p = rows.agg(F.count("*"), F.coalesce(F.avg("toxic"), F.lit(0.0))).first()
-    counts = rows.select("toxic", F.explode("x").alias("x")).groupBy("x").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").mapInArrow(read, "doc_id long, x array<int>, toxic int")
+    rows = written(found.groupBy("doc_id").agg(F.max("x").alias("x"), F.max("toxic").alias("toxic")), "labelled_terms")
+    counts = rows.select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("x").toArrow()
     kept = np.zeros(1 << BITS, bool)
-    kept[counts.column("x").to_numpy()[_tells(*(counts.column(c).to_numpy().astype(float) for c in ("a", "n")), p, total)]] = True
+    kept[counts.column("x").to_numpy()] = True
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [x[kept[x]] for x in (batch.column("x")[i].values.to_numpy() for i in range(batch.num_rows))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), batch.column("toxic")], ["doc_id", "x", "toxic"])
 
-    rows = rows.mapInArrow(thin, rows.schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    rows = rows.mapInArrow(thin, rows.schema).toArrow().sort_by("doc_id")
     lists = rows.column("x").combine_chunks()
-    x = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum([len(v) for v in lists])[:-1]) if len(lists) else []
+    x = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py()) if len(lists) else []
     return fit(x, rows.column("toxic").to_numpy().astype(float))
 
 
@@ -169,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """
     docs = small_batches(docs.drop("score"))
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, np.flatnonzero(model.weights), model.weights[model.weights != 0], model.factors[model.weights != 0]))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, np.flatnonzero(model.live), model.weights[model.live], model.factors[model.live]))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, ids, w, v = shared.value

@@ -249,18 +249,32 @@ def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch):
 # --- toxicity
 
 
-def test_factorization_machine_learns_a_pair():
+@pytest.mark.parametrize("label", [lambda a, b: a and b, lambda a, b: a != b])
+def test_factorization_machine_learns_a_pair(label):
+    """Also where each of the two terms alone says nothing, which weights alone cannot learn."""
     rng = random.Random(0)
     rows, labels = [], []
     for _ in range(3000):
         insult, group = rng.random() < 0.5, rng.random() < 0.5
         words = [f"n{rng.randrange(200)}" for _ in range(12)] + ["insult"] * insult + ["group"] * group
         rows.append(toxicity.features(" ".join(words)))
-        labels.append(float(insult and group))
+        labels.append(float(label(insult, group)))
     labels = np.array(labels)
-    model = toxicity.fit(rows[:2400], labels[:2400])
-    score = model.score(rows[2400:])
-    assert ((score >= 0.5) == (labels[2400:] == 1)).mean() > 0.97
+    right = lambda model: ((model.score(rows[2400:]) >= 0.5) == (labels[2400:] == 1)).mean()
+    assert right(toxicity.fit(rows[:2400], labels[:2400])) > 0.97
+    if label(True, False):
+        assert right(toxicity.fit(rows[:2400], labels[:2400], epochs=(14, 0, 10))) < 0.85
+
+
+def test_pair_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    size = 1 << toxicity.BITS
+    weights, factors = np.zeros(size), np.zeros((size, toxicity.FACTORS))
+    weights[:30], factors[20:50] = rng.normal(size=30), rng.normal(size=(30, toxicity.FACTORS))
+    model = toxicity.FactorizationMachine(0.3, weights, factors)
+    rows = [np.unique(rng.integers(0, 60, n)) for n in (0, 1, 2, 9, 40)]
+    plain = [0.3 + sum(weights[i] for i in x) + sum(factors[i] @ factors[j] for i in x for j in x if i < j) for x in rows]
+    assert np.allclose(model.raw(rows), plain)
 
 
 def test_toxicity_is_learnt_from_the_other_rows_only(spark):
@@ -281,5 +295,8 @@ def test_toxicity_is_learnt_from_the_other_rows_only(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, model).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in labels]) > 0.99
     assert got[5002] >= 0.5 and got[5000] == got[5001] < 0.5
+    repeated = toxicity.train(d.unionByName(d), lab.unionByName(lab))
+    assert np.array_equal(repeated.weights, model.weights)
+    assert toxicity.score_toxicity(d.limit(0), toxicity.train(d.limit(0), lab)).count() == 0
     empty = toxicity.train(d, lab.limit(0))
     assert {r.score for r in toxicity.score_toxicity(d.limit(3), empty).collect()} == {0.5}
