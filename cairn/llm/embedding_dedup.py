@@ -1,40 +1,64 @@
 """Embedding near-dedup by NN-descent within labels.
 
-1. Equal vectors of a label form a class; one vector stands for it.
-2. Neighbour lists start from cells of vectors on the same side of random hyperplanes, as many as a label's size asks for, and are refined by joining the
-   neighbours of every vector, forward and backward, with each other (neighbours of neighbours), until few entries change.
-   Whatever a comparison connects is kept as links besides the lists. A list that is full of links is saturated and may
-   lack others; its vector gets a list of neighbours outside its group, until no such list is saturated.
-3. A bounded sample, a new one each time, is audited against all vectors: while recall, the mean share of a vector's
-   links that the graph connects, is under TARGET, more hyperplane tables are added and the lists refined again; if that
-   does not help, an error is raised. Missed links that the audit finds are added in any case.
-4. Links at the threshold are grouped, and the members of a group are compared with each other in blocks, which gives
-   every link between them.
-Groups, cells and lists of any size are dealt out in parts of bounded size, and every two parts are compared.
+1. Equal vectors of a label form a class; one vector stands for it. Each gets a sketch: its unit vector in whole numbers of
+   one byte with the length of the rounding error, which bounds the error of any cosine between sketches. The graph is
+   searched on sketches; pairs whose cosine might reach the threshold are confirmed on the vectors in double precision.
+2. Neighbour lists start from cells of vectors on the same side of random hyperplanes. How many planes, and how many
+   tables of cells for a pair at the threshold to meet in one, follows from each label's own size; a label that fits one
+   block is compared in full. An overfull cell, as near copies make, is split again by planes through one of its vectors.
+3. NN-descent: the neighbours of every vector, forward and backward, are compared with each other until few entries
+   change. Whatever pairs reach the threshold in a comparison are kept as links besides the lists.
+4. A list that is full of links is saturated and may lack others: it is enlarged by places for neighbours outside the
+   vector's group, and the descent goes on, until no enlarged list is saturated.
+5. A bounded sample, a new one each time, is audited against all vectors: while recall, the mean share of a vector's links
+   that the graph connects, is under TARGET, more tables are added; if that does not help, an error is raised. Missed links
+   that the audit finds join the result, but never the graph that the next sample measures.
+6. Members of a group are compared with each other in blocks, which counts every link between them.
+Groups, cells and neighbourhoods of any size are dealt out in parts of bounded size, and every two parts are compared.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import read_table, written
 from cairn.llm.graph import components
 
-COSINE, LIST, TABLES, BLOCK, GROUP, PART, SAMPLE, TARGET, MAX_BATCHES, SEED, DELTA = 0.93, 8, 6, 512, 256, 64, 256, 0.995, 5, 5, 0.001
+COSINE, LIST, BLOCK, PART, SAMPLE, TARGET, MAX_BATCHES, SEED, DELTA, MISS = 0.93, 8, 1024, 128, 1024, 0.995, 4, 5, 0.001, 0.001
+_FLOAT32 = 1e-5  # more than products in single precision lose
+_SKETCH = "q binary, s double, e double"
+log = logging.getLogger(__name__)
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of tiny numbers would vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _sketched(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole numbers q, scale s and error e of unit vectors u, with |u - s q| = e."""
+    u = _unit(column)
+    s = np.abs(u).max(axis=1, keepdims=True) / 127
+    q = np.rint(u / s)
+    return q.astype(np.int8), s[:, 0], np.linalg.norm(u - s * q, axis=1)
+
+
+def _drawn(t) -> np.ndarray:
+    """The sketches of a table as vectors in single precision."""
+    q = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(t.num_rows, -1)
+    return q.astype(np.float32) * t.column("s").to_numpy()[:, None].astype(np.float32)
+
+
 def _dealt(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """``rows`` of each key in parts of about ``size``, so that every two parts, and each part with itself, meet in one block (keys, i, j)."""
-    parts = written(rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts")), "parts")
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     rows = rows.join(parts, keys).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("parts", "other")
@@ -46,111 +70,173 @@ def _apart(t: pa.Table) -> np.ndarray | None:
     return None if t.column("i")[0] == t.column("j")[0] else mine[:, None] != mine
 
 
-def _forest(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect what the pairs ``near`` of a block connect, at most one for each vector."""
-    rows = np.flatnonzero(near.any(1))
-    near, ids = near[np.ix_(rows, rows)], ids[rows]
-    top, before = ids, None
-    while before is None or (top != before).any():
-        before, top = top, np.minimum(top, np.where(near, top, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-    return ids[ids != top], top[ids != top]
+def _forest(near: np.ndarray, maybe: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a block and whether they are sure: of sure ones, one for every two groups ``g`` they join, and all that may be more."""
+    group, a, b = np.unique(g, return_inverse=True)[1], [], []
+    for i in np.flatnonzero(near.any(1)):
+        row = near[i] & (group != group[i])
+        while row.any():
+            j = int(row.argmax())
+            a.append(i)
+            b.append(j)
+            group[group == group[j]] = group[i]
+            row &= group != group[i]
+    c, d = np.nonzero(np.triu(maybe & (group[:, None] != group)))
+    return np.concatenate([np.array(a, int), c]), np.concatenate([np.array(b, int), d]), np.arange(len(a) + len(c)) < len(a)
+
 
+_FOUND = "src long, dst long, sim double, sure boolean"
 
-def _nearest(t: pa.Table, k: int, cosine: float) -> pa.Table:
-    """Of a block: (src, dst, sim), up to k nearest others of each vector above its floor, and (src, dst, null) for what its links connect.
 
-    Vectors of one group, as far as groups are known, do not count as others.
+def _compared(t: pa.Table, k: int, cosine: float) -> pa.Table:
+    """Of a block: (src, dst, sim), up to k nearest others of each vector above its floor; and (src, dst, null, sure), links or, if not sure, what may be one.
+
+    Vectors of one group ``g``, as far as groups are known, do not count as others.
     """
-    u, ids, g, floor, apart = _unit(t.column("v")), *(t.column(c).to_numpy() for c in ("id", "g", "floor")), _apart(t)
+    u, e, ids, g, floor, apart = _drawn(t), *(t.column(c).to_numpy() for c in ("e", "id", "g", "floor")), _apart(t)
     sim = u @ u.T
-    sim[g[:, None] == g] = -2
+    barred = g[:, None] == g
     if apart is not None:
-        sim[~apart] = -2
-    a, b = _forest(sim >= cosine, ids)
-    k = max(0, min(k, len(ids) - 1))
-    near = np.argpartition(-sim, max(k - 1, 0), axis=1)[:, :k]
-    got = np.take_along_axis(sim, near, axis=1)
-    good = got > floor[:, None]
-    src = np.broadcast_to(ids[:, None], near.shape)[good]
-    found = pa.table({"src": src, "dst": ids[near][good], "sim": got[good]})
-    return pa.concat_tables([found, pa.table({"src": a, "dst": b, "sim": pa.nulls(len(a), pa.float64())})])
-
-
-def _best(edges: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
-    """The k best entries of each list, and which of them are new to ``old``."""
-    edges = edges if old is None else edges.unionByName(old.drop("new"))
-    edges = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
-    edges = edges.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    if old is None:
-        return written(edges.withColumn("new", F.lit(True)), "lists")
-    known = old.select("src", "dst", F.lit(False).alias("new"))
-    return written(edges.join(known, ["src", "dst"], "left").withColumn("new", F.coalesce("new", F.lit(True))), "lists")
-
-
-_FOUND = "src long, dst long, sim double"
-
-
-def _start(vectors: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
-    """What TABLES hyperplane tables find. The number of planes comes from the size of each label; all vectors of a cell are compared."""
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))
-    sizes = written(vectors.groupBy("label").agg(bits.alias("bits")), "label_bits")
-    most = max(sizes.agg(F.max("bits")).first()[0] or 0, 1)
-
-    def place(batches):
+        barred |= ~apart
+    sim[barred] = -2
+    slack = (e[:, None] + e + e[:, None] * e + _FLOAT32).astype(np.float32)
+    near = sim - slack >= cosine
+    a, b, sure = _forest(near, (sim + slack >= cosine) & ~near, g)
+    parts = [pa.table({"src": ids[a], "dst": ids[b], "sim": pa.nulls(len(a), pa.float64()), "sure": sure})]
+    k = min(k, len(ids) - 1)
+    if k > 0 and t.column("deep")[0].as_py():
+        best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        got = np.take_along_axis(sim, best, axis=1)
+        good = got > floor[:, None]
+        src = np.broadcast_to(ids[:, None], best.shape)[good]
+        parts.append(pa.table({"src": src, "dst": ids[best][good], "sim": got[good].astype(np.float64), "sure": pa.nulls(len(src), pa.bool_())}))
+    return pa.concat_tables(parts)
+
+
+def _sketches(vectors: DataFrame, cosine: float) -> DataFrame:
+    """(id, label, q, s, e, bits, tables, deep) of (id, label, v): how many planes and tables a label's size asks for; deep where it is more than a block."""
+    def sketch(batches):
         for part in batches:
-            u = _unit(part.column("v"))
-            planes = np.random.default_rng(seed).normal(size=(u.shape[1], TABLES * most))
-            side = (u @ planes > 0).reshape(len(u), TABLES, -1) & (np.arange(most) < part.column("bits").to_numpy()[:, None])[:, None]
-            code = (side << np.arange(most)).sum(2) * TABLES + np.arange(TABLES)
-            at = np.repeat(np.arange(len(u)), TABLES)
-            names = ["id", "label", "v", "g", "floor"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in names), pa.array(code.ravel().astype(np.int64))], [*names, "code"])
+            q, s, e = _sketched(part.column("v"))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(s), pa.array(e)], ["id", "label", "q", "s", "e"])
+
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))
+    sizes = vectors.groupBy("label").agg(bits.alias("bits"))
+    meet = F.pow(F.lit(1 - np.arccos(cosine) / np.pi), F.col("bits"))  # that a pair at the threshold falls into one cell
+    tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(np.log(MISS) / F.ln(1 - meet))).cast("int")
+    sizes = sizes.select("label", "bits", tables.alias("tables"), (F.col("bits") > 0).alias("deep"))
+    return written(vectors.select("id", "label", "v").mapInArrow(sketch, f"id long, label long, {_SKETCH}").join(sizes, "label"), "sketches")
 
-    placed = vectors.join(sizes, "label").mapInArrow(place, "id long, label long, v array<float>, g long, floor double, code long")
-    return _dealt(placed, ["label", "code"], BLOCK).groupBy("label", "code", "i", "j").applyInArrow(lambda t: _nearest(t, k, cosine), _FOUND)
 
+def _cells(rows: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
+    """What comparing the vectors of every cell finds."""
+    names = ["id", "label", "q", "s", "e", "g", "floor", "deep"]
+    types = f"id long, label long, {_SKETCH}, g long, floor double, deep boolean"
 
-def _descend(vectors: DataFrame, lists: DataFrame, other: DataFrame | None, k: int, cosine: float) -> DataFrame:
-    """What joining the neighbours of each vector, by ``lists`` and ``other`` lists, with each other finds. Vectors without new neighbours are left out."""
-    worst = lists.groupBy("src").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst")).withColumnRenamed("src", "id")
+    def place(batches):
+        for part in batches:
+            u, bits, tables = _drawn(part), part.column("bits").to_numpy(), part.column("tables").to_numpy()
+            at, codes = [], []
+            for t in range(tables.max(initial=0)):
+                mine = np.flatnonzero(tables > t)
+                b = bits[mine]
+                planes = np.random.default_rng((seed, t)).normal(size=(b.max(initial=0), u.shape[1]))
+                side = (u[mine] @ planes.T > 0) & (np.arange(len(planes)) < b[:, None])
+                at.append(mine)
+                codes.append((side << np.arange(len(planes))).sum(1) << 10 | t)
+            at = pa.array(np.concatenate(at) if at else np.zeros(0, int))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(np.concatenate(codes) if codes else np.zeros(0, int))], [*names, "code"])
+
+    def split(batches):
+        for part in batches:
+            sub = np.zeros(part.num_rows, int)
+            bits = part.column("more").fill_null(0).to_numpy()
+            full = np.flatnonzero(bits)
+            if len(full):
+                some = part.take(pa.array(full))
+                u, pivot = _drawn(some), some.column("pivot")
+                p = np.frombuffer(b"".join(pivot.field("q").to_pylist()), np.int8).reshape(u.shape).astype(np.float32) * pivot.field("s").to_numpy(zero_copy_only=False)[:, None]
+                planes = np.random.default_rng((seed, 1, 1)).normal(size=(bits.max(), u.shape[1]))
+                side = ((u - p) @ planes.T > 0) & (np.arange(len(planes)) < bits[full][:, None])
+                sub[full] = (side << np.arange(len(planes))).sum(1)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*names, "code"]), pa.array(sub)], [*names, "code", "sub"])
+
+    placed = written(rows.mapInArrow(place, f"{types}, code long"), "placed")
+    over = placed.groupBy("label", "code").agg(F.count("*").alias("n"), F.min_by(F.struct("q", "s"), "id").alias("pivot"))
+    over = over.where(F.col("n") > 2 * BLOCK).select("label", "code", "pivot", (F.ceil(F.log2(F.col("n") / BLOCK)) + 1).cast("int").alias("more"))
+    cells = placed.join(over, ["label", "code"], "left").mapInArrow(split, f"{types}, code long, sub long")
+    return _dealt(cells, ["label", "code", "sub"], 2 * BLOCK).groupBy("label", "code", "sub", "i", "j").applyInArrow(lambda t: _compared(t, k, cosine), _FOUND)
+
+
+def _best(found: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
+    """The k best entries (src, dst, sim, new) of each list; new are those that ``old`` has not."""
+    rows = found.where("sim IS NOT NULL").select("src", "dst", "sim", F.lit(True).alias("new"))
+    rows = rows if old is None else rows.unionByName(old.withColumn("new", F.lit(False)))
+    rows = rows.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    best = rows.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "dst", "new")), asc=False), 1, k).alias("l"))
+    return written(best.select("src", F.explode("l").alias("x")).select("src", "x.dst", "x.sim", "x.new"), "lists")
+
+
+def _descend(rows: DataFrame, lists: DataFrame, other: DataFrame | None, k: int, cosine: float) -> DataFrame:
+    """What comparing the neighbours of each vector, by ``lists`` and ``other`` lists, with each other finds. Vectors without new neighbours are left out."""
     edges = lists.select("src", "dst", "new")
     edges = edges if other is None else edges.unionByName(other.select("src", "dst", F.lit(False).alias("new")))
-    near = edges.select("src", F.col("dst").alias("id"), "new").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("id"), "new"))
-    near = near.union(edges.select("src", F.col("src").alias("id"), "new")).union(edges.select(F.col("dst").alias("src"), F.col("dst").alias("id"), "new"))
-    near = written(near.groupBy("src", "id").agg(F.max("new").alias("new")), "near")
-    near = _dealt(written(near.join(near.where("new").select("src").distinct(), "src", "left_semi").select("src", "id"), "near_new"), ["src"], PART)
-    full = near.join(vectors.join(worst, "id", "left").select("id", "v", "g", F.greatest("floor", "worst").alias("floor")), "id")
-    return full.groupBy("src", "i", "j").applyInArrow(lambda t: _nearest(t, k, cosine), _FOUND)
-
-
-def _search(vectors: DataFrame, lists: DataFrame | None, other: DataFrame | None, links: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """``lists`` and ``links``, if any, with what one NN-descent adds: neighbours are joined until few entries change."""
-    few = DELTA * k * vectors.where("floor < 2").count()
-    found = _start(vectors, seed, k, cosine)
+    near = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new"))
+    near = near.groupBy("src", F.col("dst").alias("id")).agg(F.max("new").alias("new"))
+    fresh = near.where("new").select("src").distinct()
+    near = written(near.select("src", "id").join(fresh, "src", "left_semi"), "near")
+    near = near.unionByName(fresh.select("src", F.col("src").alias("id")))
+    worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
+    full = rows.join(worst, "id", "left").select("id", "q", "s", "e", "g", "deep", F.greatest("floor", "worst").alias("floor"))
+    near = _dealt(near, ["src"], PART).join(full, "id")
+    return near.groupBy("src", "i", "j").applyInArrow(lambda t: _compared(t, k, cosine), _FOUND)
+
+
+def _search(rows: DataFrame, lists: DataFrame | None, other: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``lists`` after one NN-descent, and tables of the pairs that are or may be links, as far as ``_compared`` gives them."""
+    few, found, pairs = DELTA * k * rows.where("deep AND floor < 2").count(), _cells(rows, seed, k, cosine), []
     while True:
         found = written(found, "found")
-        lists = _best(found.where("sim IS NOT NULL"), lists, k)
-        more = found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        links = more if links is None else links.unionByName(more)
+        pairs.append(found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"), "sure"))
+        lists = _best(found, lists, k)
         if lists.where("new").count() <= few:
-            return lists, links
-        found = _descend(vectors, lists, other, k, cosine)
+            return lists, pairs
+        found = _descend(rows, lists, other, k, cosine)
+
+
+def _links(pairs: list[DataFrame], vectors: DataFrame, cosine: float) -> DataFrame:
+    """The links (a, b) of pairs (a, b, sure): sure ones as they are, the others confirmed on the vectors."""
+    both = pairs[0]
+    for more in pairs[1:]:
+        both = both.unionByName(more)
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+    def confirm(batches):
+        for part in batches:
+            good = pa.array((_unit(part.column("va")) * _unit(part.column("vb"))).sum(1) >= cosine)
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
+
+    both = written(both, "pairs")
+    named = lambda c: vectors.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
+    open_ = both.where("NOT sure").select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "va", "vb")
+    return written(both.where("sure").select("a", "b").unionByName(open_.mapInArrow(confirm, "a long, b long")), "links")
 
 
 def _saturated(lists: DataFrame, k: int, cosine: float) -> DataFrame:
-    """The ids whose lists are full of links, so that more may be there."""
-    return written(lists.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("worst")).where((F.col("n") >= k) & (F.col("worst") >= cosine)).select(F.col("src").alias("id")), "saturated")
+    """The ids whose lists are full of links, as far as sketches tell, so that more may be there."""
+    full = lists.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
+    return written(full.where((F.col("n") >= k) & (F.col("worst") >= cosine - 0.01)).select("id"), "saturated")
 
 
-def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, float]:
+def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, float | None]:
     """Brute force of a bounded sample, picked by hash, against all vectors: the links (a, b) whose ends are in different groups, and recall.
 
-    Recall is the mean, over the sampled vectors that have links, of the share whose ends are in one group, so that a large group counts no more than its vectors.
+    Recall is the mean, over the sampled vectors that have links, of the share whose ends are in one group, so that a large
+    group counts no more than its vectors; null where no sampled vector has a link, so that there is nothing to measure.
     """
-    picked = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow()
+    picked = vectors.select("id", "label", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow()
     if not picked.num_rows:
-        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), 1.0
+        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), None
     shared = vectors.sparkSession.sparkContext.broadcast((picked.column("id").to_numpy(), picked.column("label").to_numpy(), _unit(picked.column("v"))))
 
     def check(batches):
@@ -161,12 +247,12 @@ def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample:
             i, j = np.nonzero(near)
             yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(ids[j])], ["a", "b"])
 
-    links = written(vectors.mapInArrow(check, "a long, b long"), "audit")
+    links = vectors.select("id", "label", "v").mapInArrow(check, "a long, b long")
     group = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
     named = links.join(group("a"), "a", "left").join(group("b"), "b", "left")
     named = written(named.select("a", "b", (F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).alias("missed")), "audited")
     recall = named.groupBy("b").agg(F.avg((~F.col("missed")).cast("int")).alias("share")).agg(F.avg("share")).first()[0]
-    return named.where("missed").select("a", "b"), 1.0 if recall is None else recall
+    return named.where("missed").select("a", "b"), recall
 
 
 def _links_within(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
@@ -179,48 +265,71 @@ def _links_within(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataF
             near &= apart
         return pa.table({"id": ids, "links": (near * size).sum(1).astype(np.int64)})
 
-    rows = _dealt(vectors.join(groups, "id"), ["component"], GROUP).select("component", "i", "j", "mine", "id", "size", "v")
+    rows = _dealt(vectors.join(groups, "id").select("component", "id", "size", "v"), ["component"], PART)
     return rows.groupBy("component", "i", "j").applyInArrow(block, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label).
 
-    Vectors link within one label at a cosine of ``cosine`` or more. A null label, and a vector that is null, empty,
-    zero or holds null or non-finite components, links with nothing. All vectors must have one length. A vec_id names one
-    vector: rows that repeat it count once in the links of others. A null vec_id stands alone and is kept. An empty
-    table gives no rows. Other columns are ignored, whatever their names.
+    Vectors link within one label at a cosine of ``cosine`` or more, in double precision. A null label, and a vector that is
+    null, empty, zero or holds null or non-finite components, links with nothing. All vectors must have one length. A vec_id
+    names one vector: rows that repeat it count once in the links of others. A null vec_id stands alone and is kept. An empty
+    table gives no rows. Other columns are ignored, whatever their names. The recall of each batch is logged.
     """
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("embedding", lambda e: e != 0)
-    label = F.col("label").cast("long")
-    v = F.transform("embedding", lambda e: e.cast("float") + F.lit(0.0).cast("float"))
-    rows = written(embeddings.where(fine).select("vec_id", label.alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v")), "rows")
-    classes = written(rows.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "classes")
-    vectors = written(classes.join(rows.withColumnRenamed("vec_id", "id"), ["label", "h1", "h2", "id"]).dropDuplicates(["id", "label", "h1", "h2"]).select("id", "label", F.col("size"), "v"), "vectors")
-    lists, links, extra = None, None, None
+    v = F.transform("embedding", lambda e: e + F.lit(0).cast("float"))  # -0 is 0
+    rows = written(embeddings.where(fine).select("vec_id", F.col("label").cast("long").alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v")), "rows")
+    key = ["label", "h1", "h2"]
+    classes = written(rows.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "classes")
+    vectors = written(classes.join(rows.withColumnRenamed("vec_id", "id"), [*key, "id"]).dropDuplicates([*key, "id"]).select("id", "label", "size", "v"), "vectors")
+    sketches, lists, pairs, extra = _sketches(vectors, cosine), None, [], None
     for batch in range(MAX_BATCHES):
-        lists, links = _search(vectors.withColumns({"g": F.col("id"), "floor": F.lit(-2.0)}), lists, None, links, SEED + batch, k, cosine)
+        lists, more = _search(sketches.withColumns({"g": F.col("id"), "floor": F.lit(-2.0)}), lists, None, SEED + batch, k, cosine)
+        pairs += more
+        links = _links(pairs, vectors, cosine)
         groups, full, turn = written(components(links), "groups"), _saturated(lists, k, cosine), 0
         while full.count():
             turn += 1
-            known = vectors.join(groups, "id", "left").join(full.withColumn("open", F.lit(True)), "id", "left")
-            known = known.select("id", "label", "v", F.coalesce("component", "id").alias("g"), F.when(F.col("open"), -2.0).otherwise(2.0).alias("floor"))
-            outside, links = _search(written(known, "known"), None, lists, links, SEED + batch + 1000 * turn, k, cosine)
-            groups, full = written(components(links), "groups"), _saturated(outside, k, cosine)
+            open_ = full.join(sketches.select("id", "label"), "id")
+            known = sketches.join(open_.select("label").distinct(), "label", "left_semi").join(groups, "id", "left").join(full.withColumn("open", F.lit(True)), "id", "left")
+            known = written(known.withColumns({"g": F.coalesce("component", "id"), "floor": F.when(F.col("open"), -2.0).otherwise(2.0)}).drop("component", "open"), "known")
+            outside, more = _search(known, None, lists, SEED + batch + 1000 * turn, k, cosine)
+            fresh = _links(more, vectors, cosine)
+            full = _saturated(outside, k, cosine)
+            if not fresh.isEmpty():
+                pairs, links = pairs + more, links.unionByName(fresh)
+                groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "groups")
         missed, recall = audit(vectors, groups, cosine, SAMPLE, SEED + batch)
+        log.info("embedding near-dedup: recall %s after %d batches", recall, batch + 1)
         extra = missed if extra is None else extra.unionByName(missed)
-        if recall >= TARGET:
+        if recall is None or recall >= TARGET:
             break
     else:
         raise RuntimeError(f"recall is {recall:.4f} of {TARGET} after {MAX_BATCHES} batches of tables")
-    groups = written(components(links.unionByName(extra)), "groups")
+    if not extra.isEmpty():
+        groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "groups")
     within = written(_links_within(vectors, groups, cosine), "links_within")
     by_class = classes.join(groups, "id", "left").join(within, "id", "left")
-    by_class = by_class.select("label", "h1", "h2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    linked = rows.select("vec_id", "label", "h1", "h2").join(by_class, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    by_class = by_class.select(*key, F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    linked = rows.select("vec_id", *key).join(by_class, key).select("vec_id", "n_links", "component_id")
     alone = embeddings.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {COSINE}),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""

@@ -17,6 +17,7 @@ QUERIES = {
 SQL = {
     "op4_topk": topk.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_chat": chat.SQL,
     "op9_url_filter": url_filter.SQL,
 }

@@ -170,17 +170,31 @@ def test_sorted_lists_stop_early():
     assert list(zip((-score).tolist(), ids.tolist())) == best
 
 
-def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
-    monkeypatch.setattr(embedding_dedup, "GROUP", 40)
+def links_of(x, label, cosine=0.93):
+    x = np.asarray(x, np.float64)
+    u = x / np.abs(x).max(1, keepdims=True)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= cosine) & (np.asarray(label)[:, None] == label)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def deduped(spark, x, label, kind="float"):
+    rows = [(i, [float(c) for c in v], int(k), 0) for i, (v, k) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, n_links int")
+    return {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df).collect()}
+
+
+@pytest.mark.parametrize("block", [100, 1024])
+def test_embedding_dedup_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "PART", 40)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.15, size=(20, 16)), base[0] + rng.normal(scale=0.12, size=(150, 16)), base[5:8], 3 * base[30:33]]).astype(np.float32)
     label = rng.integers(0, 3, len(x))
     label[80:230] = 1
-    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    near = (u @ u.T >= 0.93) & (label[:, None] == label)
-    np.fill_diagonal(near, False)
+    near = links_of(x, label)
     want = grouped(len(x), np.argwhere(near).tolist())
     rows = [(i, v.tolist(), int(k), 0) for i, (v, k) in enumerate(zip(x, label))]
     odd = [(1000, None, 1, 0), (1001, [0.0] * 16, 1, 0), (1002, x[0].tolist(), None, 0), (1003, [float("nan")] * 16, 1, 0), (None, x[0].tolist(), 1, 0)]
@@ -193,19 +207,34 @@ def test_embedding_dedup_matches_brute_force(spark, monkeypatch):
     assert embedding_dedup.embedding_dedup(df.where("vec_id = 3")).count() == 1
 
 
-def test_embedding_dedup_finds_pairs_in_a_hot_label(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
-    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
-    monkeypatch.setattr(embedding_dedup, "MAX_BATCHES", 1)
-    monkeypatch.setattr(embedding_dedup, "audit", lambda vectors, *_: (vectors.selectExpr("id a", "id b").limit(0), 1.0))
+def test_embedding_dedup_finds_pairs_in_a_hot_label(spark, caplog):
+    """One label of 12,000 vectors, half of which have one partner, beside 1,000 labels of one vector."""
     rng = np.random.default_rng(2)
-    base = rng.normal(size=(2400, 24))
-    x = np.concatenate([base, base[:300] + rng.normal(scale=0.25, size=(300, 24)), rng.normal(size=(200, 24))]).astype(np.float32)
-    rows = [(i, v.tolist(), 0 if i < 2700 else i) for i, v in enumerate(x)]
+    base = rng.normal(size=(9000, 32))
+    x = np.concatenate([base, base[:3000] + rng.normal(scale=0.3, size=(3000, 32)), rng.normal(size=(1000, 32))]).astype(np.float32)
+    label = np.where(np.arange(13000) < 12000, -1, np.arange(13000))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    pairs = [i for i in range(300) if u[i] @ u[2400 + i] >= 0.931]
-    got = {r.vec_id: r.component_id for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    assert len(pairs) > 200 and np.mean([got[i] == got[2400 + i] for i in pairs]) > 0.97
+    pairs = [i for i in range(3000) if u[i] @ u[9000 + i] >= 0.930001]
+    with caplog.at_level("INFO", logger="cairn.llm.embedding_dedup"):
+        got = deduped(spark, x, label)
+    assert len(pairs) > 2000 and np.mean([got[9000 + i] == (1, i) for i in pairs]) >= 0.99
+    assert "recall" in caplog.text
+
+
+def test_embedding_dedup_is_in_double_precision(spark):
+    """Pairs just above and just below the threshold, and vectors whose squares vanish in single or double precision."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(400, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(400, 24))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.93 + np.where(np.arange(400) < 200, 1e-9, -1e-9)[:, None]
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * b, np.eye(24)[:1] * 1e-60, np.eye(24)[:1] * 1e-200])
+    label = [*range(400), *range(400), 400, 400]
+    got = deduped(spark, x, label, "double")
+    assert [got[400 + i] for i in range(400)] == [(1, i) if i < 200 else (0, 400 + i) for i in range(400)]
+    assert got[800] == (1, 800) and got[801] == (1, 800)
 
 
 def test_all_parts_of_an_overfull_cell_meet(spark):
@@ -223,27 +252,27 @@ def test_embedding_dedup_does_not_pass_with_small_groups_missed(spark, monkeypat
     rng = np.random.default_rng(7)
     base = rng.normal(size=(40, 24))
     x = np.concatenate([rng.normal(size=24) + rng.normal(scale=0.05, size=(200, 24)), base, base + rng.normal(scale=0.05, size=(40, 24))])
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     with pytest.raises(RuntimeError, match="recall"):
-        embedding_dedup.embedding_dedup(df)
+        deduped(spark, x, [1] * len(x))
 
 
-def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("block", [24])
+def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(4)
     turn = np.arccos(0.935)
     bridge = np.zeros((2, 24))
     bridge[0, 0], bridge[1, :2] = 1, (np.cos(turn), np.sin(turn))
     away = np.zeros((2, 24))
     away[0, :2], away[1, :2] = (np.cos(0.15), -np.sin(0.15)), (np.cos(turn + 0.15), np.sin(turn + 0.15))
-    x = np.concatenate([bridge, *(c + rng.normal(scale=0.008, size=(40, 24)) for c in away)])
-    u = x.astype(np.float32) / np.linalg.norm(x, axis=1, keepdims=True)
-    near = u @ u.T >= 0.93
-    near[0, 1] = near[1, 0] = False
-    assert len(set(grouped(len(x), np.argwhere(near).tolist()))) == 2
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.component_id, r.n_links) for r in embedding_dedup.embedding_dedup(df).collect()}
-    assert {c for c, _ in got.values()} == {0} and got[0][1] == near[0].sum()  # less itself, more the bridge
+    x = np.concatenate([bridge, *(c + rng.normal(scale=0.008, size=(40, 24)) for c in away)]).astype(np.float32)
+    near = links_of(x, [1] * len(x))
+    cut = near.copy()
+    cut[0, 1] = cut[1, 0] = False
+    assert len(set(grouped(len(x), np.argwhere(cut).tolist()))) == 2
+    got = deduped(spark, x, [1] * len(x))
+    assert {c for _, c in got.values()} == {0} and [got[i][0] for i in range(len(x))] == near.sum(1).tolist()
 
 
 # --- toxicity
