@@ -5,11 +5,11 @@
    searched on sketches; pairs whose cosine might reach the threshold are confirmed on the vectors in double precision.
 2. Neighbour lists start from cells of vectors on the same side of random hyperplanes. How many planes, and how many
    tables of cells for a pair at the threshold to meet in one, follows from each label's own size; a label that fits one
-   block is compared in full. An overfull cell, as near copies make, is split again by planes through one of its vectors.
-3. NN-descent: the neighbours of every vector, forward and backward, are compared with each other until few entries
-   change. Whatever pairs reach the threshold in a comparison are kept as links besides the lists.
-4. A list that is full of links is saturated and may lack others: it is enlarged by places for neighbours outside the
-   vector's group, and the descent goes on, until no enlarged list is saturated.
+   block is compared in full. So is an overfull cell, as near copies make, in parts; one of over WHOLE blocks is split first
+   by planes through the middle between two of its vectors.
+3. NN-descent: the neighbours of every vector, forward and backward, are compared with each other until few entries change.
+4. Links are kept beside the lists: whatever a comparison connects takes no place in them, so a list is enlarged by as many
+   places as its vector has links there, and a list full of links, which could hide others, does not occur.
 5. A bounded sample, a new one each time, is audited against all vectors: while recall, the mean share of a vector's links
    that the graph connects, is under TARGET, more tables are added; if that does not help, an error is raised. Missed links
    that the audit finds join the result, but never the graph that the next sample measures.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import read_table, written
 from cairn.llm.graph import components
 
-COSINE, LIST, BLOCK, PART, SAMPLE, TARGET, MAX_BATCHES, SEED, DELTA, MISS = 0.93, 8, 1024, 128, 1024, 0.995, 4, 5, 0.001, 0.001
+COSINE, LIST, BLOCK, PART, SAMPLE, TARGET, MAX_BATCHES, SEED, DELTA, MISS, WHOLE = 0.93, 8, 1024, 128, 1024, 0.995, 4, 5, 0.001, 0.001, 32
 _FLOAT32 = 1e-5  # more than products in single precision lose
 _SKETCH = "q binary, s double, e double"
 log = logging.getLogger(__name__)
@@ -64,57 +64,79 @@ def _dealt(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("parts", "other")
 
 
-def _apart(t: pa.Table) -> np.ndarray | None:
-    """Which pairs of a block are compared there: pairs within one part have a block of their own."""
-    mine = t.column("mine").to_numpy()
-    return None if t.column("i")[0] == t.column("j")[0] else mine[:, None] != mine
-
-
-def _forest(near: np.ndarray, maybe: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of a block and whether they are sure: of sure ones, one for every two groups ``g`` they join, and all that may be more."""
-    group, a, b = np.unique(g, return_inverse=True)[1], [], []
-    for i in np.flatnonzero(near.any(1)):
-        row = near[i] & (group != group[i])
-        while row.any():
-            j = int(row.argmax())
-            a.append(i)
-            b.append(j)
-            group[group == group[j]] = group[i]
-            row &= group != group[i]
-    c, d = np.nonzero(np.triu(maybe & (group[:, None] != group)))
-    return np.concatenate([np.array(a, int), c]), np.concatenate([np.array(b, int), d]), np.arange(len(a) + len(c)) < len(a)
-
-
 _FOUND = "src long, dst long, sim double, sure boolean"
 
 
-def _compared(t: pa.Table, k: int, cosine: float) -> pa.Table:
-    """Of a block: (src, dst, sim), up to k nearest others of each vector above its floor; and (src, dst, null, sure), links or, if not sure, what may be one.
+def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, cosine: float) -> pa.Table:
+    """Of sets of rows that meet: (src, dst, sim), up to k nearest of each vector above its floor; and (src, dst, null, sure),
+    what the links of a set connect and, not sure, what may be a link besides.
 
-    Vectors of one group ``g``, as far as groups are known, do not count as others.
+    Vectors that a set's links connect do not count as near in it. In sets that are ``apart`` only rows of different parts meet.
     """
-    u, e, ids, g, floor, apart = _drawn(t), *(t.column(c).to_numpy() for c in ("e", "id", "g", "floor")), _apart(t)
-    sim = u @ u.T
-    barred = g[:, None] == g
-    if apart is not None:
-        barred |= ~apart
-    sim[barred] = -2
-    slack = (e[:, None] + e + e[:, None] * e + _FLOAT32).astype(np.float32)
-    near = sim - slack >= cosine
-    a, b, sure = _forest(near, (sim + slack >= cosine) & ~near, g)
-    parts = [pa.table({"src": ids[a], "dst": ids[b], "sim": pa.nulls(len(a), pa.float64()), "sure": sure})]
-    k = min(k, len(ids) - 1)
-    if k > 0 and t.column("deep")[0].as_py():
-        best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        got = np.take_along_axis(sim, best, axis=1)
-        good = got > floor[:, None]
-        src = np.broadcast_to(ids[:, None], best.shape)[good]
-        parts.append(pa.table({"src": src, "dst": ids[best][good], "sim": got[good].astype(np.float64), "sure": pa.nulls(len(src), pa.bool_())}))
-    return pa.concat_tables(parts)
+    u, e, ids, floor, mine = _drawn(t), *(t.column(c).to_numpy() for c in ("e", "id", "floor", "mine"))
+    e, size, found, a_, b_, sure = e.astype(np.float32), np.array([len(x) for x in sets]), [], [], [], []
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        m = size[order[min(at + 63, len(order) - 1)]]
+        some = order[at : at + max(1, min(64, 4_000_000 // max(m * m, 1)))]
+        at, m = at + len(some), size[some[-1]]
+        rows, real = np.zeros((len(some), m), int), np.arange(m) < size[some][:, None]
+        rows[real] = np.concatenate([sets[x] for x in some])
+        x, err = u[rows], e[rows]
+        sim = x @ x.transpose(0, 2, 1)
+        good = real[:, :, None] & real[:, None] & ~np.eye(m, dtype=bool)
+        two = np.array([apart[x] for x in some])
+        if two.any():
+            good[two] &= mine[rows[two]][:, :, None] != mine[rows[two]][:, None]
+        slack = err[:, :, None] + err[:, None] * (1 + err[:, :, None]) + np.float32(_FLOAT32)
+        near = (sim - slack >= cosine) & good
+        maybe = (sim + slack >= cosine) & good & ~near
+        group = np.broadcast_to(np.arange(m), rows.shape)
+        linked = near.any((1, 2))
+        if linked.any():
+            group, low, before = group.copy(), None, None
+            low = group[linked]
+            while before is None or (low != before).any():
+                before, low = low, np.minimum(low, np.where(near[linked], low[:, None], m).min(2))
+            group[linked] = low
+            key = (np.arange(len(some))[:, None] * m + group)[real]
+            flat, by = rows[real], np.argsort(key, kind="stable")
+            one = key[by][1:] == key[by][:-1]
+            a_.append(flat[by][:-1][one])
+            b_.append(flat[by][1:][one])
+            sure.append(np.ones(one.sum(), bool))
+        other = group[:, :, None] != group[:, None]
+        c, i, j = np.nonzero(maybe & other)
+        c, i, j = (v[i < j] for v in (c, i, j))
+        a_.append(rows[c, i])
+        b_.append(rows[c, j])
+        sure.append(np.zeros(len(c), bool))
+        if k > 0 and m > 1:
+            sim[~(good & other)] = -2
+            best = np.argpartition(-sim, min(k, m) - 1, axis=2)[:, :, :k]
+            got = np.take_along_axis(sim, best, axis=2)
+            c, i, j = np.nonzero(got > np.where(real, floor[rows], 2)[:, :, None])
+            found.append((rows[c, i], rows[c, best[c, i, j]], got[c, i, j]))
+    join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    a, b, sure = join(a_, int), join(b_, int), join(sure, bool)
+    out = [pa.table({"src": ids[a], "dst": ids[b], "sim": pa.nulls(len(a), pa.float64()), "sure": sure})]
+    if found:
+        src, dst, sim = (join(x, kind) for x, kind in zip(zip(*found), (int, int, np.float32)))
+        src, dst = ids[src], ids[dst]
+        by = np.lexsort((dst, -sim, src))
+        src, dst, sim = src[by], dst[by], sim[by]
+        once = np.ones(len(src), bool)
+        once[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
+        src, dst, sim = src[once], dst[once], sim[once]
+        first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, int)
+        rank = np.arange(len(src)) - np.repeat(first, np.diff(np.r_[first, len(src)]))
+        src, dst, sim = src[rank < k], dst[rank < k], sim[rank < k]
+        out.append(pa.table({"src": src, "dst": dst, "sim": sim.astype(np.float64), "sure": pa.nulls(len(src), pa.bool_())}))
+    return pa.concat_tables(out)
 
 
 def _sketches(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(id, label, q, s, e, bits, tables, deep) of (id, label, v): how many planes and tables a label's size asks for; deep where it is more than a block."""
+    """(id, label, q, s, e, bits, tables) of (id, label, v): how many planes and tables a label's size asks for; no planes where it is one block."""
     def sketch(batches):
         for part in batches:
             q, s, e = _sketched(part.column("v"))
@@ -124,19 +146,19 @@ def _sketches(vectors: DataFrame, cosine: float) -> DataFrame:
     sizes = vectors.groupBy("label").agg(bits.alias("bits"))
     meet = F.pow(F.lit(1 - np.arccos(cosine) / np.pi), F.col("bits"))  # that a pair at the threshold falls into one cell
     tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(np.log(MISS) / F.ln(1 - meet))).cast("int")
-    sizes = sizes.select("label", "bits", tables.alias("tables"), (F.col("bits") > 0).alias("deep"))
+    sizes = sizes.select("label", "bits", tables.alias("tables"))
     return written(vectors.select("id", "label", "v").mapInArrow(sketch, f"id long, label long, {_SKETCH}").join(sizes, "label"), "sketches")
 
 
 def _cells(rows: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
     """What comparing the vectors of every cell finds."""
-    names = ["id", "label", "q", "s", "e", "g", "floor", "deep"]
-    types = f"id long, label long, {_SKETCH}, g long, floor double, deep boolean"
+    names = ["id", "label", "q", "s", "e", "floor", "bits"]
+    types = f"id long, label long, {_SKETCH}, floor double, bits int, code long"
 
     def place(batches):
         for part in batches:
             u, bits, tables = _drawn(part), part.column("bits").to_numpy(), part.column("tables").to_numpy()
-            at, codes = [], []
+            at, codes = [np.zeros(0, int)], [np.zeros(0, int)]
             for t in range(tables.max(initial=0)):
                 mine = np.flatnonzero(tables > t)
                 b = bits[mine]
@@ -144,28 +166,34 @@ def _cells(rows: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
                 side = (u[mine] @ planes.T > 0) & (np.arange(len(planes)) < b[:, None])
                 at.append(mine)
                 codes.append((side << np.arange(len(planes))).sum(1) << 10 | t)
-            at = pa.array(np.concatenate(at) if at else np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(np.concatenate(codes) if codes else np.zeros(0, int))], [*names, "code"])
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(np.concatenate(codes))], [*names, "code"])
 
     def split(batches):
         for part in batches:
-            sub = np.zeros(part.num_rows, int)
-            bits = part.column("more").fill_null(0).to_numpy()
-            full = np.flatnonzero(bits)
-            if len(full):
-                some = part.take(pa.array(full))
-                u, pivot = _drawn(some), some.column("pivot")
-                p = np.frombuffer(b"".join(pivot.field("q").to_pylist()), np.int8).reshape(u.shape).astype(np.float32) * pivot.field("s").to_numpy(zero_copy_only=False)[:, None]
-                planes = np.random.default_rng((seed, 1, 1)).normal(size=(bits.max(), u.shape[1]))
-                side = ((u - p) @ planes.T > 0) & (np.arange(len(planes)) < bits[full][:, None])
-                sub[full] = (side << np.arange(len(planes))).sum(1)
+            u, more, table, sub = _drawn(part), part.column("more").to_numpy(), part.column("code").to_numpy() & 1023, np.zeros(part.num_rows, int)
+            for one in ("low", "high"):
+                end = part.column(one)
+                u -= 0.5 * np.frombuffer(b"".join(end.field("q").to_pylist()), np.int8).reshape(u.shape).astype(np.float32) * end.field("s").to_numpy(zero_copy_only=False)[:, None].astype(np.float32)
+            for t in np.unique(table):
+                planes = np.random.default_rng((seed, t, 1)).normal(size=(more.max(), u.shape[1]))
+                side = (u[table == t] @ planes.T > 0) & (np.arange(len(planes)) < more[table == t][:, None])
+                sub[table == t] = (side << np.arange(len(planes))).sum(1)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*names, "code"]), pa.array(sub)], [*names, "code", "sub"])
 
-    placed = written(rows.mapInArrow(place, f"{types}, code long"), "placed")
-    over = placed.groupBy("label", "code").agg(F.count("*").alias("n"), F.min_by(F.struct("q", "s"), "id").alias("pivot"))
-    over = over.where(F.col("n") > 2 * BLOCK).select("label", "code", "pivot", (F.ceil(F.log2(F.col("n") / BLOCK)) + 1).cast("int").alias("more"))
-    cells = placed.join(over, ["label", "code"], "left").mapInArrow(split, f"{types}, code long, sub long")
-    return _dealt(cells, ["label", "code", "sub"], 2 * BLOCK).groupBy("label", "code", "sub", "i", "j").applyInArrow(lambda t: _compared(t, k, cosine), _FOUND)
+    def block(t: pa.Table) -> pa.Table:
+        return _compared(t, [np.arange(t.num_rows)], [t.column("i")[0] != t.column("j")[0]], k if t.column("bits")[0].as_py() else 0, cosine)
+
+    cell = ["label", "code"]
+    placed = written(rows.mapInArrow(place, types), "placed")
+    over = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.min_by(F.struct("q", "s"), "id").alias("low"), F.max_by(F.struct("q", "s"), "id").alias("high")).where(F.col("n") > 2 * BLOCK)
+    over = written(over.select(*cell, "low", "high", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (WHOLE * BLOCK))) + 1).cast("int").alias("more")), "overfull")
+    zero = F.lit(0)
+    met = placed.join(over.select(*cell), cell, "left_anti").withColumns({"sub": zero.cast("long"), "mine": zero, "i": zero, "j": zero})
+    if not over.isEmpty():
+        parts = _dealt(placed.join(over, cell).mapInArrow(split, f"{types}, sub long"), [*cell, "sub"], 2 * BLOCK)
+        met = met.unionByName(parts)
+    return met.groupBy(*cell, "sub", "i", "j").applyInArrow(block, _FOUND)
 
 
 def _best(found: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
@@ -177,55 +205,62 @@ def _best(found: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
     return written(best.select("src", F.explode("l").alias("x")).select("src", "x.dst", "x.sim", "x.new"), "lists")
 
 
-def _descend(rows: DataFrame, lists: DataFrame, other: DataFrame | None, k: int, cosine: float) -> DataFrame:
-    """What comparing the neighbours of each vector, by ``lists`` and ``other`` lists, with each other finds. Vectors without new neighbours are left out."""
-    edges = lists.select("src", "dst", "new")
-    edges = edges if other is None else edges.unionByName(other.select("src", "dst", F.lit(False).alias("new")))
+def _descend(rows: DataFrame, lists: DataFrame, old: DataFrame, fresh: DataFrame, n: int, k: int, cosine: float) -> DataFrame:
+    """What comparing the neighbours of each of n vectors, by lists and by links (a, b), ``old`` and ``fresh``, with each other finds.
+
+    Vectors without new neighbours are left out. Neighbourhoods go to n / 256 groups of rows, large ones in parts.
+    """
+    edges = lists.select("src", "dst", "new").unionByName(old.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(False).alias("new")))
+    edges = edges.unionByName(fresh.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(True).alias("new")))
     near = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new"))
-    near = near.groupBy("src", F.col("dst").alias("id")).agg(F.max("new").alias("new"))
-    fresh = near.where("new").select("src").distinct()
-    near = written(near.select("src", "id").join(fresh, "src", "left_semi"), "near")
-    near = near.unionByName(fresh.select("src", F.col("src").alias("id")))
+    near = near.groupBy("src", F.col("dst").alias("id")).agg(F.min("new").alias("new"))
+    open_ = near.where("new").select("src").distinct()
+    near = near.select("src", "id").join(open_, "src", "left_semi").unionByName(open_.select("src", F.col("src").alias("id")))
     worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    full = rows.join(worst, "id", "left").select("id", "q", "s", "e", "g", "deep", F.greatest("floor", "worst").alias("floor"))
-    near = _dealt(near, ["src"], PART).join(full, "id")
-    return near.groupBy("src", "i", "j").applyInArrow(lambda t: _compared(t, k, cosine), _FOUND)
+    full = rows.join(worst, "id", "left").select("id", "q", "s", "e", F.greatest("floor", "worst").alias("floor"))
+    group = F.pmod(F.xxhash64("src", "i", "j"), F.lit(max(1, n // 256))).alias("group")
+    near = _dealt(near, ["src"], PART).select(group, "src", "i", "j", "mine", "id").join(full, "id")
+
+    def meet(t: pa.Table) -> pa.Table:
+        src, i, j = (t.column(c).to_numpy() for c in ("src", "i", "j"))
+        by = np.lexsort((j, i, src))
+        edge = np.flatnonzero((np.diff(src[by]) != 0) | (np.diff(i[by]) != 0) | (np.diff(j[by]) != 0)) + 1
+        sets = np.split(by, edge)
+        return _compared(t, sets, [i[x[0]] != j[x[0]] for x in sets], k, cosine)
 
+    return near.groupBy("group").applyInArrow(meet, _FOUND)
 
-def _search(rows: DataFrame, lists: DataFrame | None, other: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame, list[DataFrame]]:
-    """``lists`` after one NN-descent, and tables of the pairs that are or may be links, as far as ``_compared`` gives them."""
-    few, found, pairs = DELTA * k * rows.where("deep AND floor < 2").count(), _cells(rows, seed, k, cosine), []
+
+def _search(sketches: DataFrame, lists: DataFrame | None, links: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame | None, DataFrame]:
+    """``lists`` and the pairs (a, b, sure) that are, or if not sure may be, links, after one NN-descent."""
+    rows = sketches.withColumn("floor", F.lit(-2.0))
+    n, found, pairs = sketches.where("bits > 0").count(), _cells(rows, seed, k, cosine), links
     while True:
         found = written(found, "found")
-        pairs.append(found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"), "sure"))
+        fresh = found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"), "sure")
+        old, pairs = pairs, fresh if pairs is None else pairs.unionByName(fresh)
+        if not n:
+            return None, pairs
         lists = _best(found, lists, k)
-        if lists.where("new").count() <= few:
+        if lists.where("new").count() <= DELTA * k * n:
             return lists, pairs
-        found = _descend(rows, lists, other, k, cosine)
+        deep = rows.where("bits > 0")
+        of = lambda df: df.where("sure").select("a", "b").join(deep.select(F.col("id").alias("a")), "a", "left_semi")
+        found = _descend(deep, lists, of(fresh.limit(0) if old is None else old), of(fresh), n, k, cosine)
 
 
-def _links(pairs: list[DataFrame], vectors: DataFrame, cosine: float) -> DataFrame:
+def _links(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
     """The links (a, b) of pairs (a, b, sure): sure ones as they are, the others confirmed on the vectors."""
-    both = pairs[0]
-    for more in pairs[1:]:
-        both = both.unionByName(more)
-    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
     def confirm(batches):
         for part in batches:
             good = pa.array((_unit(part.column("va")) * _unit(part.column("vb"))).sum(1) >= cosine)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
 
-    both = written(both, "pairs")
     named = lambda c: vectors.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
     open_ = both.where("NOT sure").select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "va", "vb")
-    return written(both.where("sure").select("a", "b").unionByName(open_.mapInArrow(confirm, "a long, b long")), "links")
-
-
-def _saturated(lists: DataFrame, k: int, cosine: float) -> DataFrame:
-    """The ids whose lists are full of links, as far as sketches tell, so that more may be there."""
-    full = lists.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("sim").alias("worst"))
-    return written(full.where((F.col("n") >= k) & (F.col("worst") >= cosine - 0.01)).select("id"), "saturated")
+    return both.where("sure").select("a", "b").unionByName(open_.mapInArrow(confirm, "a long, b long"))
 
 
 def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, float | None]:
@@ -258,11 +293,11 @@ def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample:
 def _links_within(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
     """(id, links): the sizes of the classes that a class links to, summed; all members of a group are compared, in blocks."""
     def block(t: pa.Table) -> pa.Table:
-        u, ids, size, apart = _unit(t.column("v")), t.column("id").to_numpy(), t.column("size").to_numpy(), _apart(t)
+        u, ids, size, mine = _unit(t.column("v")), *(t.column(c).to_numpy() for c in ("id", "size", "mine"))
         near = u @ u.T >= cosine
         np.fill_diagonal(near, False)
-        if apart is not None:
-            near &= apart
+        if t.column("i")[0] != t.column("j")[0]:
+            near &= mine[:, None] != mine
         return pa.table({"id": ids, "links": (near * size).sum(1).astype(np.int64)})
 
     rows = _dealt(vectors.join(groups, "id").select("component", "id", "size", "v"), ["component"], PART)
@@ -279,27 +314,14 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST
     """
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("embedding", lambda e: e != 0)
     v = F.transform("embedding", lambda e: e + F.lit(0).cast("float"))  # -0 is 0
-    rows = written(embeddings.where(fine).select("vec_id", F.col("label").cast("long").alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v")), "rows")
     key = ["label", "h1", "h2"]
-    classes = written(rows.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size")), "classes")
-    vectors = written(classes.join(rows.withColumnRenamed("vec_id", "id"), [*key, "id"]).dropDuplicates([*key, "id"]).select("id", "label", "size", "v"), "vectors")
-    sketches, lists, pairs, extra = _sketches(vectors, cosine), None, [], None
+    rows = embeddings.where(fine).select("vec_id", F.col("label").cast("long").alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v"))
+    ids = rows.groupBy(*key, F.col("vec_id").alias("id")).agg(F.first("v").alias("v"))  # equal hashes: equal vectors
+    vectors = written(ids.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("size"), F.min_by("v", "id").alias("v")), "vectors")
+    sketches, lists, pairs, extra = _sketches(vectors, cosine), None, None, None
     for batch in range(MAX_BATCHES):
-        lists, more = _search(sketches.withColumns({"g": F.col("id"), "floor": F.lit(-2.0)}), lists, None, SEED + batch, k, cosine)
-        pairs += more
-        links = _links(pairs, vectors, cosine)
-        groups, full, turn = written(components(links), "groups"), _saturated(lists, k, cosine), 0
-        while full.count():
-            turn += 1
-            open_ = full.join(sketches.select("id", "label"), "id")
-            known = sketches.join(open_.select("label").distinct(), "label", "left_semi").join(groups, "id", "left").join(full.withColumn("open", F.lit(True)), "id", "left")
-            known = written(known.withColumns({"g": F.coalesce("component", "id"), "floor": F.when(F.col("open"), -2.0).otherwise(2.0)}).drop("component", "open"), "known")
-            outside, more = _search(known, None, lists, SEED + batch + 1000 * turn, k, cosine)
-            fresh = _links(more, vectors, cosine)
-            full = _saturated(outside, k, cosine)
-            if not fresh.isEmpty():
-                pairs, links = pairs + more, links.unionByName(fresh)
-                groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh)), "groups")
+        lists, pairs = _search(sketches, lists, pairs, SEED + batch, k, cosine)
+        groups = written(components(_links(pairs, vectors, cosine)), "groups")
         missed, recall = audit(vectors, groups, cosine, SAMPLE, SEED + batch)
         log.info("embedding near-dedup: recall %s after %d batches", recall, batch + 1)
         extra = missed if extra is None else extra.unionByName(missed)
@@ -309,8 +331,7 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST
         raise RuntimeError(f"recall is {recall:.4f} of {TARGET} after {MAX_BATCHES} batches of tables")
     if not extra.isEmpty():
         groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra)), "groups")
-    within = written(_links_within(vectors, groups, cosine), "links_within")
-    by_class = classes.join(groups, "id", "left").join(within, "id", "left")
+    by_class = vectors.drop("v").join(groups, "id", "left").join(_links_within(vectors, groups, cosine), "id", "left")
     by_class = by_class.select(*key, F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     linked = rows.select("vec_id", *key).join(by_class, key).select("vec_id", "n_links", "component_id")
     alone = embeddings.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
