@@ -5,11 +5,11 @@ chunks. Documents are dealt out by their smallest border hash, which brings thos
 rebalance, whose large partitions adaptive execution splits); each task encodes a chunk once and keeps its ids within
 a bounded store. Where two chunks meet, the ids around the join are repaired: the text from the last sure border before
 it to the first sure border behind it is encoded anew, and the window widens until the ids of both chunks begin a token
-at its ends, so all three encodings agree there.
+at its ends, so all three encodings agree there. Windows that touch become one, so no byte is encoded more than twice.
 
-A border is sure between an ASCII letter and a space: the byte-level pre-tokenizer never lets a token cross it, reads
-from left to right without looking back, and no special token holds one. So ids before and behind it do not depend on
-each other.
+A border is sure where the pre-tokenizer always cuts, whatever stands around: it reads from left to right without looking
+back, a token holds no white space behind other characters, and letters, digits and other signs only in runs of one kind.
+So ids before and behind a sure border do not depend on each other. Texts that hold a special token are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table, small_batches
+from cairn.llm.common import read_table, small_batches, unused
 
 SPAN, ONE_IN, MIN_CHUNK, MAX_CHUNK = 16, 64, 512, 8192
 CACHE_BYTES = 48_000_000
@@ -39,9 +39,11 @@ def default_tokenizer() -> str:
 
 
 def _picked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Spaces whose SPAN bytes before them hash to a picked value, and these hashes."""
+    """Spaces, or beginnings of characters in texts with few of them, whose SPAN bytes before them hash to a picked value; and the hashes."""
     raw = np.frombuffer(data, np.uint8)
     spaces = np.flatnonzero(raw == 32)
+    if len(spaces) * 64 < len(data):
+        spaces = np.flatnonzero(raw & 0xC0 != 0x80)
     spaces = spaces[spaces >= SPAN]
     if not len(spaces):
         return spaces, np.zeros(0, np.uint64)
@@ -73,11 +75,34 @@ def chunk_borders(data: bytes) -> list[int]:
     return out
 
 
-def _sure(data: bytes, low: int, high: int) -> np.ndarray:
-    """Sure borders in data, from low to high."""
-    raw = np.frombuffer(data, np.uint8)[max(low - 1, 0) : high + 1]
-    letter = (raw[:-1] | 32) - np.uint8(97) < 26
-    return np.flatnonzero(letter & (raw[1:] == 32)) + max(low - 1, 0) + 1
+def _kinds() -> np.ndarray:
+    """For each byte what it says of its character: 1 letter, 2 digit, 3 other sign, 4 space or line break, 0 unknown."""
+    kind = np.zeros(256, np.uint8)
+    kind[33:127] = 3
+    kind[[*range(65, 91), *range(97, 123)]], kind[48:58], kind[[10, 32]] = 1, 2, 4
+    return kind
+
+
+_KIND = _kinds()
+
+
+def sure_borders(data: bytes) -> np.ndarray:
+    """Where the pre-tokenizer cuts in any case: between ASCII characters of two kinds, and between a character beyond ASCII,
+    unless it may be white space, and a space or line break; also before an ideographic comma or full stop behind an ideograph."""
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) < 2:
+        return np.zeros(0, np.int64)
+    kind = _KIND[raw]
+    left, right = kind[:-1], kind[1:]
+    cut = (left != right) & (left > 0) & (left < 4) & (right > 0) & ((left != 3) | (right == 4))  # 's begins with a sign and crosses
+    if (raw >= 128).any():
+        tail = np.flatnonzero((raw[:-1] >= 128) & ((right == 4) | (raw[1:] == 0xE3) | (raw[1:] == 0xEF)))
+        lead2, lead3, lead4 = (np.where(tail >= k, raw[np.maximum(tail - k, 0)], 0) for k in (1, 2, 3))
+        two, three, four = (lead2 >= 0xC3) & (lead2 < 0xE0), (lead3 == 0xE0) | (lead3 >= 0xE4) & (lead3 < 0xEF), lead4 >= 0xF0
+        ideograph = (lead3 >= 0xE5) & (lead3 <= 0xE8)  # U+5000 to U+8FFF
+        comma = np.isin(raw[tail + 1].astype(np.int64) << 16 | raw[np.minimum(tail + 2, len(raw) - 1)].astype(np.int64) << 8 | raw[np.minimum(tail + 3, len(raw) - 1)], (0xE38081, 0xE38082, 0xEFBC8C))
+        cut[tail] = np.where(right[tail] == 4, two | three | four, ideograph & comma)
+    return np.flatnonzero(cut) + 1
 
 
 class ChunkCoder:
@@ -93,6 +118,7 @@ class ChunkCoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {t: i for t, i in ranks.items() if i not in special.values()}
         self.engine = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = [t.encode() for t in special]
         by_id = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
         self.bytes_of = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.width = np.array([len(b) for b in self.bytes_of], np.int64)
@@ -116,32 +142,32 @@ class ChunkCoder:
             self.held -= len(old) + ids.nbytes + 300
         return hit
 
-    def _starts(self, ids: np.ndarray, at: int) -> np.ndarray:
-        return at + np.cumsum(self.width[ids]) - self.width[ids]
-
     def encode(self, data: bytes) -> np.ndarray:
         """The ids of a whole text; the same as encoding it in one piece."""
         if not data:
             return np.zeros(0, "<u4")
         borders = chunk_borders(data)
-        ids, start, parts = self._chunk(data[: borders[0]]), 0, []  # ids of data from start on, not yet in parts
-        for join, end in zip(borders, borders[1:]):
-            then = self._chunk(data[join:end])
-            if len(_sure(data, join, join)):
-                parts.append(ids)
-                ids, start = then, join
-                continue
-            self.repaired += 1
-            here, there = self._starts(ids, start), self._starts(then, join)
-            left = next((p for p in _sure(data, start, join - 1)[::-1] if p in here), start)
-            for right in [*_sure(data, join + 1, end - 1), end]:
-                middle = self._run(data[left:right])
-                if right == end or right in there:
-                    break
-            parts.append(ids[: np.searchsorted(here, left)])
-            rest = then[np.searchsorted(there, right) :]
-            ids, start = np.concatenate([middle, rest]), left
-        return np.concatenate([*parts, ids])
+        if len(borders) == 1 or any(x in data for x in self.special):
+            return self._chunk(data) if len(borders) == 1 else self._run(data)
+        edges = np.array([0, *borders])
+        chunks = [self._chunk(data[a:b]) for a, b in zip(edges, edges[1:])]
+        ids = np.concatenate(chunks)
+        starts = np.cumsum(self.width[ids]) - self.width[ids]  # of every token of every chunk in the text
+        fixed = sure_borders(data)
+        fixed = np.concatenate([[0], fixed[np.isin(fixed, starts, assume_unique=True)], [len(data)]])  # where all encodings agree
+        joins = edges[1:-1]
+        low, high = fixed[np.searchsorted(fixed, joins, "right") - 1], fixed[np.searchsorted(fixed, joins)]
+        low, high = low[low < joins], high[low < joins]
+        if not len(low):
+            return ids
+        fresh = np.r_[True, low[1:] > high[:-1]]
+        low, high = low[fresh], np.maximum.reduceat(high, np.flatnonzero(fresh))
+        self.repaired += int((high - low).sum())
+        parts, done = [], 0
+        for a, b in zip(low, high):
+            parts += [ids[done : np.searchsorted(starts, a)], self._run(data[a:b])]
+            done = np.searchsorted(starts, b)
+        return np.concatenate([*parts, ids[done:]])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """What decode(ids, skip_special_tokens=False) gives, in UTF-8."""
@@ -189,7 +215,11 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 
 
 def encode_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, made inside the tasks so that ids need not leave them."""
+    """doc_id, n_tokens and the digests of ids and decoded text, made inside the tasks so that ids need not leave them.
+
+    Null and empty texts have no ids; their digests are those of nothing. Repeated rows repeat, no rows give none; other
+    columns are ignored.
+    """
     path = tokenizer or default_tokenizer()
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +246,8 @@ def _brought_together(docs: DataFrame) -> DataFrame:
 
         return data.map(of, na_action="ignore").fillna(0).astype("int64")
 
-    return small_batches(docs).withColumn("_key", smallest_border(F.col("text").cast("binary"))).hint("rebalance", F.col("_key")).drop("_key")
+    key = unused("key", docs)
+    return small_batches(docs).withColumn(key, smallest_border(F.col("text").cast("binary"))).hint("rebalance", F.col(key)).drop(key)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -188,6 +189,32 @@ def test_chunked_ids_equal_whole_ids(library, monkeypatch, least, most, one_in):
         assert coder.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("kind", ["numbers", "digits", "cyrillic", "ideographs", "commas"])
+def test_repair_is_linear(kind):
+    rng = random.Random(1)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    text = {
+        "numbers": lambda: " ".join(word("0123456789", 6) for _ in range(60_000)),
+        "digits": lambda: word("0123456789", 100_000),
+        "cyrillic": lambda: " ".join(word("абвгдежзийклмноп", 7) for _ in range(30_000)),
+        "ideographs": lambda: "，".join(word([chr(c) for c in range(0x4E00, 0x9FA5, 7)], 14) for _ in range(9_000)),
+        "commas": lambda: ",".join(word("0123456789abc", 9) for _ in range(40_000)),
+    }[kind]().encode()
+    coder = bpe.ChunkCoder(bpe.default_tokenizer())
+    began = time.perf_counter()
+    whole = coder._run(text)
+    between = time.perf_counter()
+    assert coder.encode(text).tolist() == whole.tolist()
+    assert time.perf_counter() - between < 4 * (between - began) + 0.3
+    assert coder.repaired <= len(text)
+
+
+def test_bpe_takes_any_column_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, key long, key_ long")
+    got = bpe.encode_documents(docs).first()
+    assert (got.key, got.key_, got.decoded) == (7, 8, "a b")
+
+
 def test_bpe_digests(spark, library):
     texts = [None, "", " ", "one passage that documents share " * 60, "x " + "one passage that documents share " * 60, "a" * 50_000, "<|endoftext|>"]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts + texts[3:4])], "doc_id long, text string, ids string")
