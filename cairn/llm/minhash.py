@@ -4,9 +4,10 @@
    SuperMinHash signature and the band hashes. Documents with equal sets form a class at once; its smallest doc_id
    stands for it, so groups of exact copies cost nothing further.
 2. Representatives that share a band are candidates. No large bucket is expanded into all its pairs: first every member
-   is compared with the bucket's smallest member. Where a bucket then still holds several components, small buckets are
-   compared in full, and members of larger ones where a prefix filter on their sets leaves a link possible; the filter is
-   exact, so no link is lost.
+   is compared with the bucket's smallest member. Where a bucket then still holds several components, its members meet in
+   blocks as parity maps of their sets: two maps differ in at most as many bits as the sets differ in elements, so this
+   filter loses no link. A block gives only as many of the pairs it leaves open as connect its components; rounds go on
+   until none is open.
 3. Candidates are confirmed on the full sets, rebuilt from the texts.
 4. Confirmed links are grouped by union-find within tasks and rounds of joins between them.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import read_table, small_batches, written
 from cairn.llm.graph import components
 
-SHINGLE, SIMILAR, SLOTS, BANDS, SMALL, COUNTERS = 5, 85, 125, 25, 32, 1 << 18
+SHINGLE, SIMILAR, SLOTS, BANDS, PART, MAX_MAP = 5, 85, 125, 25, 256, 1 << 17
 _U = np.uint64
 
 
@@ -160,59 +161,65 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     return written(who.join(written(mixed, "mixed"), "bucket", "left_semi"), "open_members")
 
 
-def _small_bucket_pairs(members: DataFrame) -> DataFrame:
-    """Every pair of different components in buckets of at most SMALL members: fewer than SMALL for each member."""
-    a = members.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    b = a.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"))
-    return a.join(b, "bucket").where("a > b and ca <> cb").select("a", "b").distinct()
-
-
-def _item_counts(texts: DataFrame) -> np.ndarray:
-    """COUNTERS counts of the documents whose sets hold an item of each hash; its size does not depend on the input."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(COUNTERS, np.int64)
+def parity_map(items: np.ndarray) -> np.ndarray:
+    """For each of 8 or more bits per element, MAX_MAP at most, whether an odd number of elements fall on it."""
+    bits = 512
+    while bits < min(8 * len(items), MAX_MAP):
+        bits *= 2
+    odd = np.bincount((items & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _open_pairs(t: pa.Table, similar: int) -> pa.Table:
+    """Of blocks (bucket, i, j): pairs (a, b) of different components that may link, no more than connect the components of a block."""
+    bucket, i_, j_, ids, n, mine, component = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "rep", "n", "mine", "component"))
+    maps, tested, out = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()], [set(x or ()) for x in t.column("tested").to_pylist()], []
+    width, by = np.array([len(m) for m in maps]), np.lexsort((j_, i_, bucket))
+    edge = np.flatnonzero((np.diff(bucket[by]) != 0) | (np.diff(i_[by]) != 0) | (np.diff(j_[by]) != 0)) + 1
+    for block in np.split(by, edge):
+        group = np.unique(component[block], return_inverse=True)[1]
+        for w in np.unique(width[block]):  # sets that may link differ in size by less than twice, maps fold to half their size
+            near = np.flatnonzero((width[block] == w) | (width[block] == 2 * w))
+            rows = block[near]
+            table, size, part = np.stack([maps[x] if width[x] == w else maps[x][:w] ^ maps[x][w:] for x in rows]), n[rows], mine[rows]
+            for at in np.flatnonzero(width[rows] == w):
+                fits = (group[near] != group[near[at]]) & (100 * np.minimum(size, size[at]) >= similar * np.maximum(size, size[at])) & ((width[rows] != w) | (near > near[at]))
+                if i_[rows[0]] != j_[rows[0]]:
+                    fits &= part != part[at]
+                rest = np.flatnonzero(fits)
+                most = (100 - similar) * (size[at] + size[rest]) // (100 + similar)
+                for y in rest[np.bitwise_count(table[rest] ^ table[at]).sum(1) <= most]:
+                    a, b = (rows[at], rows[y]) if ids[rows[at]] > ids[rows[y]] else (rows[y], rows[at])
+                    if group[near[at]] != group[near[y]] and int(ids[b]) not in tested[a]:
+                        out.append((ids[a], ids[b]))
+                        group[group == group[near[y]]] = group[near[at]]
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+
+def _parity_maps(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, n, map) of the members' texts."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                held += np.bincount((shingles(t) & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        parts = held.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "held"])
-
-    def total(t: pa.Table) -> pa.Table:
-        return pa.table({"part": t.column("part").slice(0, 1), "held": pa.array([sum(np.frombuffer(x, np.int64) for x in t.column("held").to_pylist()).tobytes()], pa.binary())})
+            sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_map(s).tobytes() for s in sets], pa.binary())], ["rep", "n", "map"])
 
-    got = texts.mapInArrow(count, "part long, held binary").groupBy("part").applyInArrow(total, "part long, held binary").toArrow().sort_by("part")
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in got.column("held").to_pylist())]) if got.num_rows else np.zeros(COUNTERS, np.int64)
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    return written(small_batches(texts).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(draw, "rep long, n long, map binary").dropDuplicates(["rep"]), "maps")
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """The pairs of different components among members of larger buckets that can reach the similarity at all.
+def _block_pairs(members: DataFrame, maps: DataFrame, tested: DataFrame, similar: int) -> DataFrame:
+    """What ``_open_pairs`` gives for all members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
 
-    Sets are sorted by how many of these documents hold an element, as a count sketch of fixed size has it, rare ones first. Two sets of sizes m <= n need an
-    overlap of similar * (m + n) / (100 + similar), so their first common element stands early in both, with enough elements
-    behind it. Copies that differ by elements of their own have these in front, and so do not meet, however many there are.
+    Every two parts of a bucket, of about PART members each, meet in one block; small blocks share a task's group of rows.
     """
-    who = members.where(F.col("size") > SMALL).select(F.col("rep").alias("id"), "component").distinct()
-    open_ = written(texts.select(F.col("doc_id").alias("id"), "text").join(who.select("id"), "id", "left_semi"), "open_texts")
-    held = open_.sparkSession.sparkContext.broadcast(_item_counts(open_))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                items = shingles(t)
-                first = items[np.lexsort((items, held.value[items & _U(COUNTERS - 1)]))][: len(items) * (100 - similar) // 100 + 1]
-                rows.append((first.view(np.int64), np.full(len(first), len(items)), np.arange(len(first))))
-            of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-            item, n, at = (pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([item, batch.column("id").take(pa.array(of)), n, at], ["item", "id", "n", "at"])
-
-    probe = written(open_.mapInArrow(prefixes, "item long, id long, n long, at long").join(who, "id"), "prefixes")
-    x = probe.select("item", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "at", "component")))
-    y = probe.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * similar / (100 + similar))).select("item", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "at", "component")))
-    reach = (1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)) * (100 + similar) >= (F.col("n_x") + F.col("n_y")) * similar
-    order = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("id_y") < F.col("id_x")))
-    met = x.join(y, "item").where(order & reach & (F.col("component_x") != F.col("component_y")) & (F.col("n_y") * 100 >= F.col("n_x") * similar))
-    return met.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+    groups = max(1, members.count() // 2000)
+    done = tested.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tested"))
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component")
+    rows = rows.join(maps, "rep").join(done, "rep", "left")
+    group = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))
+    return rows.groupBy(group.alias("group")).applyInArrow(lambda t: _open_pairs(t, similar), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -235,16 +242,39 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS,
     wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "candidate_texts")
     tested = written(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    groups = written(components(written(_confirmed(tested, texts, similar), "links")), "groups")
-    open_ = _open_members(members, groups)
-    fresh = _small_bucket_pairs(open_).unionByName(_prefix_pairs(open_, texts, similar)).distinct()
-    more = written(_confirmed(written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs"), texts, similar), "links")
-    groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+    groups, maps = written(components(_confirmed(tested, texts, similar)), "groups"), None
+    while True:
+        open_ = _open_members(members, groups)
+        maps = _parity_maps(open_, texts) if maps is None else maps
+        fresh = _block_pairs(open_, maps, tested, similar)
+        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            break
+        tested = tested.unionByName(fresh)
+        more = written(_confirmed(fresh, texts, similar), "links")
+        if not more.isEmpty():
+            groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component) | component.isNull()).alias("kept"))
 
 
+SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 2}, 2)), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= {SIMILAR} * (p.n + q.n - both)),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON id = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

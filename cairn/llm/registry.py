@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
+    "op1_minhash": minhash.SQL,
     "op4_topk": topk.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,

@@ -53,9 +53,8 @@ def test_superminhash_estimates_with_less_spread_than_minhash():
         assert abs(same.mean() - j) < 0.012 and same.std() < (j * (1 - j) / 125) ** 0.5
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+def test_near_duplicates_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 5)
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(500)]
     texts = []
@@ -75,6 +74,47 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in range(n)}
 
 
+def test_a_family_of_one_template_is_not_confirmed_pair_by_pair(spark, monkeypatch):
+    """512 texts of one template that differ in four or more of 16 slots, so that none links, and one pair that does."""
+    rng = random.Random(3)
+    words, slots = [f"t{i}" for i in range(180)], [5 + 11 * k for k in range(16)]
+    code, texts = [], []
+    while len(code) < 512:
+        c = rng.getrandbits(16)
+        if all((c ^ d).bit_count() >= 4 for d in code) or len(code) > 300 and c not in code and all((c ^ d).bit_count() >= 3 for d in code[:300]):
+            code.append(c)
+    for c in code:
+        text = list(words)
+        for k, at in enumerate(slots):
+            text[at] = f"v{k}{c >> k & 1}"
+        texts.append(" ".join(text))
+    texts.append(texts[40] + " more words")
+    sets = [sets_of(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    confirmed, seen = minhash._confirmed, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = grouped(len(texts), links)
+    assert got == dict(enumerate(want)) and got[512] == got[40]
+    assert sum(seen) <= 30 * len(texts) + len(links)
+
+
+def test_parity_maps_differ_less_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (3, 90, 700, 30_000):
+        a = rng.integers(0, 2**63, n).astype("u8")
+        b = np.concatenate([a[n // 8 :], rng.integers(0, 2**63, n // 10).astype("u8")])
+        x, y = minhash.parity_map(a), minhash.parity_map(b)
+        w = min(len(x), len(y))
+        x, y = ((m if len(m) == w else m[:w] ^ m[w:]) for m in (x, y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_bear_odd_rows(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, "a b c d e f"), (None, "x"), (None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
