@@ -1,6 +1,7 @@
 """Line dedup, mixing, chat formatting, URL lists and BPE against brute force, with the odd rows each must bear."""
 
 import hashlib
+import math
 import random
 import time
 from collections import Counter, defaultdict
@@ -54,6 +55,24 @@ def test_line_dedup_bears_repeats_nulls_and_no_rows(spark):
     assert line_dedup.line_dedup(documents(spark, []).limit(0)).count() == 0
 
 
+def test_line_dedup_and_mixing_take_any_column_name(spark):
+    line = "the same line in all of them"
+    rows = [(i, line, "s", 7, 8, 9, 10, 11, 12, 13) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, d int, t int, gone int, h int, size int, pieces int, _d int")
+    for out in (line_dedup.line_dedup(docs), mixing.mix(docs)):
+        got = out.collect()
+        assert got and {(r.d, r.t, r.gone, r.h, r.size, r.pieces, r._d) for r in got} == {(7, 8, 9, 10, 11, 12, 13)}
+
+
+def test_steps_permute(spark):
+    sizes = spark.range(1, 1400).selectExpr("id n")
+    got = sizes.select("n", *[mixing._step(F.col("n"), F.lit(5), F.lit(k)).alias(f"s{k}") for k in range(3)]).collect()
+    for r in got:
+        assert all(math.gcd(r.n, r[f"s{k}"]) == 1 or r.n == 1 for k in range(3))
+        assert r.n < 5 or r.n == 6 or all(r[f"s{k}"] not in (1, r.n - 1) for k in range(3))
+    assert len({r.s0 for r in got if r.n > 1000} | {r.s1 for r in got if r.n > 1000}) > 400
+
+
 def test_line_dedup_counts_documents_not_rows(spark):
     line = "the same line in all of them"
     got = line_dedup.line_dedup(spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")).collect()
@@ -165,6 +184,30 @@ def test_url_filter_as_of_the_fetch_day(spark):
     assert url_filter.url_filter(df.limit(0), entries).count() == 0
 
 
+def test_url_filter_matches_brute_force(spark):
+    rng = random.Random(4)
+    hosts = ["a.x.org", "x.org", "b.x.org", "y.net"]
+    log = [(f"h:{rng.choice(hosts)}", rng.randint(-40, 200), rng.choice(["block", "watch", "drop", "allow"])) for _ in range(300)]
+    log += [(f"u:{rng.choice(hosts)}/p{rng.randrange(3)}", rng.randint(0, 90), rng.choice(["allow", "drop"])) for _ in range(60)]
+    captures = [(i, f"http://{rng.choice(hosts)}/p{rng.randrange(4)}", rng.randint(-10, 260)) for i in range(400)] + [(900, "http://" + "l." * 60 + "x.org/" + "p" * 20_000, 50)]
+    by_key = defaultdict(dict)
+    for k, day, verdict in log:
+        by_key[k][day] = max(verdict, by_key[k].get(day, ""))
+
+    def brute(url, day):
+        host = url[7:].split("/")[0]
+        labels = host.split(".")
+        for key in [f"u:{host}/{url[7:].split('/')[1]}", *("h:" + ".".join(labels[i:]) for i in range(len(labels) - 1))]:
+            days = [x for x in by_key[key] if x <= day]
+            if days and by_key[key][max(days)] != "drop":
+                return by_key[key][max(days)], key, max(days)
+        return None, None, None
+
+    df = spark.createDataFrame([(*c, 1, 2) for c in captures], "page_id long, url string, day int, b int, best int")
+    got = {r.page_id: (r.verdict, r.key, r.since) for r in url_filter.url_filter(df, spark.createDataFrame(log, "key string, day int, verdict string")).collect()}
+    assert got == {i: brute(url, day) for i, url, day in captures}
+
+
 # --- BPE
 
 
