@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BLANKS, bound, lower_ascii, read_table, written
+from cairn.llm.common import BLANKS, bound, lower_ascii, read_table, unused, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -46,15 +46,17 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     found = rows.select("_d", "_t", F.explode("_k").alias("_e")).select("_d", "_t", "_e.h1", "_e.h2", "_e.pos")
     hits = found.join(shared, ["h1", "h2"]).where(F.col("_d") != F.col("_last"))
     drops = hits.groupBy("_d", "_t").agg(F.collect_set("pos").alias("_drop"))
-    joined = docs.withColumns({"_d": who, "_t": F.xxhash64("text")}).join(drops, ["_d", "_t"], "left")
+    d, t, gone = (unused(c, docs) for c in ("d", "t", "gone"))
+    drops = drops.select(F.col("_d").alias(d), F.col("_t").alias(t), F.col("_drop").alias(gone))
+    joined = docs.withColumns({d: who, t: F.xxhash64("text")}).join(drops, [d, t], "left")
     text = F.coalesce("text", F.lit(""))
     n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone))
     kept = bound(_lines(text), lambda lines: F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined.withColumns({
-        "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(kept),
-    }).drop("_d", "_t", "_drop")
+        "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col(gone).isNull(), text).otherwise(kept),
+    }).drop(d, t, gone)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,15 +12,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bound, n_words, read_table, words, written
+from cairn.llm.common import bound, n_words, read_table, unused, words, written
 
 WEIGHTS, MAX_REPEAT, BLOCK, SEED = (5.0, 2.0, 1.0), 3, 64, 17
 MIN_SHARD_SLOTS, MAX_SHARDS = 4096, 8192
-#: Step widths of the permutations: primes, so one of them has no factor in common with the number of blocks.
-STEPS = (2147483647, 2147483629)
+#: How many primes the step widths of the permutations are picked from.
+N_STEPS = 16
 WIDE = 3_000_000_000
 
 
+def _steps(n: int) -> list[int]:
+    """The n greatest primes under 2^31."""
+    found, x = [], 2**31 - 1
+    while len(found) < n:
+        if all(x % d for d in range(3, int(x**0.5) + 1, 2)):
+            found.append(x)
+        x -= 2
+    return found
+
+
+def _step(n: Column, *keys: Column) -> Column:
+    """A step width for n blocks, picked by the keys: without a common factor with n, and not 1 or -1 modulo n where n leaves the choice."""
+    n = F.greatest(n, F.lit(1))
+    steps, first = F.array(*map(F.lit, _steps(N_STEPS))), F.pmod(F.xxhash64(*keys), F.lit(N_STEPS)).cast("int")
+    turned = F.concat(F.slice(steps, first + 1, F.lit(N_STEPS)), F.slice(steps, F.lit(1), first))
+    good = F.filter(turned, lambda p: (p % n > 1) & (p % n < n - 1))
+    return F.coalesce(F.get(good, F.lit(0)) % n, F.lit(1).cast("long"))
+
+
 def _uniform(*cols: Column) -> Column:
     """A pseudorandom double in [0, 1) of the columns' values."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)
@@ -39,14 +58,14 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], max_repeat: int, bl
     out = level.withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("w")))
     out = out.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     slots = F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)
-    out = out.withColumn("slots", slots).withColumn("all_slots", F.sum(slots).over(everything))
-    return out.select("skey", "rank", "source_size", "target", "n_blocks", "slots", "all_slots")
+    out = out.withColumn("slots", slots).withColumn("all_slots", F.sum(slots).over(everything)).withColumn("n_sources", F.count("*").over(everything))
+    return out.select("n_sources", "skey", "rank", "source_size", "target", "n_blocks", "slots", "all_slots")
 
 
 def _block_uses(sources: DataFrame, max_repeat: int, seed: int) -> DataFrame:
     """How often each block is taken: (skey, idx, uses), blocks that are never taken left out."""
     total = F.floor(F.col("all_slots") + 0.5)
-    width = F.greatest(F.lit(MIN_SHARD_SLOTS), F.ceil(total / MAX_SHARDS))
+    width = F.greatest(F.lit(MIN_SHARD_SLOTS), F.ceil(total / MAX_SHARDS), F.col("n_sources") * 4)  # shards times sources: a quarter of the slots at most
     plan = sources.where(F.col("slots") > 0).withColumn("total", total).withColumn("width", width)
     plan = plan.where(F.col("total") > 0).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("width")))))
     size = F.least(F.col("width"), F.col("total") - F.col("shard") * F.col("width"))
@@ -63,10 +82,13 @@ def _block_uses(sources: DataFrame, max_repeat: int, seed: int) -> DataFrame:
     counts = counts.groupBy("shard", "skey").agg(F.sum("base").alias("n")).where(F.col("n") > 0)
     start = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("start", start).join(sources.select("skey", "rank", "n_blocks"), "skey")
+    # one step for each source and pass, found before the slots are exploded
+    steps = F.array(*[_step(F.col("n_blocks"), F.lit(seed), F.col("rank"), F.lit(e)) for e in range(max_repeat)])
+    counts = counts.join(sources.select("skey", steps.alias("steps")), "skey")
     slots = counts.withColumn("ordinal", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))).where(F.col("ordinal") < F.col("n_blocks") * max_repeat)
     n, epoch = F.col("n_blocks"), F.floor(F.col("ordinal") / F.col("n_blocks"))
     r, shift = F.col("ordinal") % n, F.pmod(F.xxhash64(F.lit(seed), F.col("rank"), epoch), n)
-    step = F.when(n % STEPS[0] != 0, F.lit(STEPS[0])).otherwise(F.lit(STEPS[1])) % n
+    step = F.get(F.col("steps"), epoch.cast("int"))
     wide = ((r.cast("decimal(19,0)") * step.cast("decimal(18,0)") + shift) % n).cast("long")
     return slots.select("skey", F.when(n < WIDE, (r * step + shift) % n).otherwise(wide).alias("idx")).groupBy("skey", "idx").agg(F.count("*").alias("uses"))
 
@@ -119,18 +141,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int =
     Rows that repeat a document (same doc_id and text) become one row. Documents of which no word is taken go.
     """
     placed, uses = _laid_out(docs, weights, max_repeat, block, seed)
-    taken = (_pieces(placed, uses, block).where(F.col("uses") > 0).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("h").alias("_h"))
-             .agg(F.max("size").alias("_size"), F.array_sort(F.collect_list(F.struct("rn", "start", "n", "uses"))).alias("_p")))
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(-1)), "_h": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    full = keyed.join(taken, ["_d", "_h"]).dropDuplicates(["_d", "_h"])
+    d, h, size, pieces = (unused(c, docs) for c in ("d", "h", "size", "pieces"))
+    taken = (_pieces(placed, uses, block).where(F.col("uses") > 0).groupBy(F.coalesce("doc_id", F.lit(-1)).alias(d), F.col("h").alias(h))
+             .agg(F.max("size").alias(size), F.array_sort(F.collect_list(F.struct("rn", "start", "n", "uses"))).alias(pieces)))
+    keyed = docs.withColumns({d: F.coalesce("doc_id", F.lit(-1)), h: F.xxhash64(F.lit(seed), "doc_id", "text")})
+    full = keyed.join(taken, [d, h]).dropDuplicates([d, h])
 
     def one_pass(e: Column, ws: Column) -> Column:
-        some = F.filter("_p", lambda p: p.uses >= e)
+        some = F.filter(pieces, lambda p: p.uses >= e)
         n = F.aggregate(some, F.lit(0).cast("long"), lambda a, p: a + p.n)
         part = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(ws, (p.start + 1).cast("int"), p.n.cast("int")))), " ")
-        return F.when(n == F.col("_size"), F.col("text")).otherwise(part)
+        return F.when(n == F.col(size), F.col("text")).otherwise(part)
 
-    most = F.aggregate("_p", F.lit(1).cast("long"), lambda a, p: F.greatest(a, p.uses))
+    most = F.aggregate(pieces, F.lit(1).cast("long"), lambda a, p: F.greatest(a, p.uses))
     passes = F.sequence(F.lit(1).cast("long"), most)
     out = full.withColumn("text", bound(words(F.col("text")), lambda ws: F.array_join(F.transform(passes, lambda e: one_pass(e, ws)), "\n")))
     if "n_chars" in docs.columns:

@@ -1,8 +1,9 @@
 """URL filters by a temporal list join: dated list entries become validity intervals that captures are joined to as of their fetch day.
 
 A list is a log of dated entries; an entry holds from its day until the next entry of the same key. Every capture is
-looked up under its exact address, its host and each parent domain with equality on the key and the fetch day inside the
-interval; of the entries in force the most specific decides. Captures of a host that holds a third of the table meet the
+looked up under its exact address, its host and each parent domain: intervals are cut into spans of SPAN days, equality on
+key and span joins them, and of the few of a span the one that holds the fetch day stays; of the entries in force the most
+specific decides. Captures of a host that holds a third of the table meet the
 written, small interval side in an ordinary join, whose large partitions adaptive execution splits.
 """
 
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table, written
+from cairn.llm.common import read_table, unused, written
 
 ADDRESS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)"
 FOREVER = 2**31 - 1
+#: Days in a span: a capture meets at most so many intervals of a key.
+SPAN = 16
 #: In the query: an entry holds so many days, and comes back after so many.
 HELD, AWAY = 90, 200
 
@@ -53,13 +56,17 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Columns named verdict, key or since are replaced; other columns pass through. An empty list decides nothing.
     """
     captures = captures.drop("verdict", "key", "since")
-    names = captures.columns
-    intervals = written(validity_intervals(entries), "intervals")
-    asked = captures.select("url", "day").distinct().select("url", "day", F.posexplode(lookup_keys(F.col("url"))).alias("depth", "key"))
-    found = asked.join(intervals, (asked["key"] == intervals["key"]) & (F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")))
-    best = found.groupBy("url", "day").agg(F.min(F.struct("depth", intervals["key"].alias("key"), "verdict", "since")).alias("b"))
+    names, best_ = captures.columns, unused("best", captures)
+    asked = captures.select("url", "day").where(F.col("url").isNotNull() & F.col("day").isNotNull()).distinct()
+    asked = asked.select("url", "day", F.posexplode(lookup_keys(F.col("url"))).alias("depth", "key")).withColumn("span", F.floor(F.col("day") / SPAN))
+    ends = captures.agg(F.min("day").alias("first"), F.max("day").alias("last"))  # one row
+    intervals = written(validity_intervals(entries), "intervals").join(F.broadcast(ends)).where("since <= last AND until > first")
+    spans = F.sequence(F.floor(F.greatest("since", "first") / SPAN), F.floor(F.least(F.col("until") - 1, "last") / SPAN))
+    spans = intervals.select("key", "verdict", "since", "until", F.explode(spans).alias("span"))
+    found = asked.join(spans, ["key", "span"]).where((F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")))
+    best = found.groupBy("url", "day").agg(F.min(F.struct("depth", "key", "verdict", "since")).alias(best_))
     out = captures.join(best, ["url", "day"], "left")
-    return out.select(*names, F.col("b.verdict").alias("verdict"), F.col("b.key").alias("key"), F.col("b.since").alias("since"))
+    return out.select(*names, *[F.col(f"{best_}.{c}").alias(c) for c in ("verdict", "key", "since")])
 
 
 def list_of_pages(captures: DataFrame) -> DataFrame:
