@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,9 +99,33 @@ def keep_newest(files: DataFrame, most: int, max_bytes: int) -> DataFrame:
 
 
 def unique_keys(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """Adds ``key``: the base for its first row, then base-2, base-3 and so on."""
-    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("key", F.when(place == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), place.cast("string"))))
+    """Adds ``key``: the base for its first row in ``order``, then the first of base-2, base-3 and so on that no row before has.
+
+    Bases that could meet, as they agree up to suffixes of digits, are settled together, one after the other, in one group;
+    the others get their number from a window.
+    """
+    stem = F.regexp_replace(F.col(base), "(-[0-9]+)+$", "")
+    plain = Window.partitionBy(base).orderBy(order)
+    mixed = rows.select(stem.alias("stem"), base).where(F.col(base) != F.col("stem")).select("stem").distinct()
+    rows = rows.withColumn("stem", stem)
+    place = F.row_number().over(plain)
+    alone = rows.join(mixed, "stem", "left_anti").withColumn("key", F.when(place == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), place.cast("string"))))
+
+    def settle(t: pd.DataFrame) -> pd.DataFrame:
+        used, following, keys = set(), {}, []
+        t = t.sort_values(order, kind="stable")
+        for name in t[base]:
+            n, key = following.get(name, 2), name
+            while key in used:
+                key, n = f"{name}-{n}", n + 1
+            following[name] = n
+            used.add(key)
+            keys.append(key)
+        return t.assign(key=keys)
+
+    met = rows.join(mixed, "stem", "left_semi")
+    met = met.groupBy("stem").applyInPandas(settle, met.withColumn("key", F.lit("")).schema)
+    return alone.unionByName(met).drop("stem")
 
 
 def thirds(rows: DataFrame, key: str, order: str, parts: int = 3) -> DataFrame:

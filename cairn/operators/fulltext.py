@@ -107,5 +107,7 @@ def substring_channel(chunks: DataFrame, query: str, count_hits: bool = True) ->
     if not exact.isEmpty():
         return exact
     pieces = F.slice(trigrams(F.lit(q)), 1, MAX_GRAMS)
-    hits = F.size(F.filter(pieces, lambda g: F.contains(text, g)))
-    return chunks.select("chunk_id", (hits if count_hits else F.least(hits, F.lit(1))).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(TOP)
+    # the text in lower case is a column of its own: within the lambda it would be made anew for every piece
+    hits = F.size(F.filter(pieces, lambda g: F.contains(F.col("low"), g)))
+    lowered = chunks.select("chunk_id", F.explode(F.array(text)).alias("low"))
+    return lowered.select("chunk_id", (hits if count_hits else F.least(hits, F.lit(1))).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(TOP)

@@ -16,7 +16,11 @@ AXIS_ALIASES = {
 REASONS = ("code_mismatch", "no_code_span", "evidence_missing", "schema_invalid")
 
 
-def card_kind(card_type: Column, mechanism: Column, has_code: Column, gotchas: tuple[str, ...] = ("gotcha", "pitfall", "caveat", "注意", "坑")) -> Column:
+GOTCHAS = ("gotcha", "pitfall", "陷阱", "踩坑", "坑")
+MOST_EVIDENCE, MOST_ENTRY_POINTS, MOST_TAGS, MOST_CHARACTERISTICS = 6, 8, 12, 8
+
+
+def card_kind(card_type: Column, mechanism: Column, has_code: Column, gotchas: tuple[str, ...] = GOTCHAS) -> Column:
     """(kind, rule) of an older card; a null kind is skipped."""
     warns = F.array_contains(F.transform(F.array(*map(F.lit, gotchas)), lambda g: F.contains(F.lower(mechanism), g)), True)
     pick = lambda kind, rule: F.struct(F.lit(kind).cast("string").alias("kind"), F.lit(rule).alias("rule"))
@@ -60,3 +64,23 @@ def grouped(cards: DataFrame, least: int = 3) -> DataFrame:
     rows = thirds(cards.join(n, "source_id"), "source_id", "card_id", least)
     group = F.when(F.col("labels") >= least, F.coalesce(F.nullif("label", F.lit("")), F.lit("other"))).when(F.col("axes") >= least, F.coalesce(F.nullif("axis", F.lit("")), F.lit("other"))).otherwise(F.concat(F.lit("part-"), (F.col("part") + 1).cast("string")))
     return rows.select("source_id", "card_id", group.alias("feature"))
+
+
+def evidence_by_card(evidence: DataFrame, most: int | None = None) -> DataFrame:
+    """(card_id, evidence): each card's evidence (card_id, path, start_line, end_line) in order, the first ``most`` of it if given."""
+    rows = evidence.where(F.col("card_id").isNotNull()).groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "end_line"))).alias("evidence"))
+    return rows if most is None else rows.withColumn("evidence", F.slice("evidence", 1, most))
+
+
+def source_keys(*tables: DataFrame) -> DataFrame:
+    """The distinct non-empty keys of all tables (key)."""
+    rows = tables[0].select("key")
+    for table in tables[1:]:
+        rows = rows.union(table.select("key"))
+    return rows.where(F.coalesce("key", F.lit("")) != "").distinct()
+
+
+def entry_points(paths: Column, report_path: Column, most: int = MOST_ENTRY_POINTS) -> Column:
+    """The first distinct paths, ``most`` at most; the report's own where there are none."""
+    own = F.slice(F.array_distinct(F.filter(paths, lambda p: F.coalesce(p, F.lit("")) != "")), 1, most)
+    return F.when(F.size(own) > 0, own).otherwise(F.filter(F.array(report_path), lambda p: p.isNotNull()))

@@ -171,7 +171,7 @@ def card_anchors(spark, d):
     return table(spark, d, "pages").select("page_id", T.card_anchor(F.concat_ws("_", F.lit("a"), F.col("page_id") % 5, "page_id")).alias("anchor"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i, gram FROM (SELECT doc_id, gram, min(i) AS r FROM (SELECT doc_id, i, substr(t, i, 3) AS gram FROM (SELECT doc_id, trim(substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), LATERAL (SELECT unnest(range(1, greatest(length(t) - 1, 1))) AS i)) GROUP BY ALL)")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i, gram FROM (SELECT doc_id, gram, min(i) AS r FROM (SELECT doc_id, i, substr(t, i, 3) AS gram FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), LATERAL (SELECT unnest(range(1, greatest(length(t) - 1, 1))) AS i)) GROUP BY ALL)")
 def trigrams_in_order(spark, d):
     out = table(spark, d, "documents").select("doc_id", F.posexplode(T.trigrams(F.col("text"))).alias("p", "gram"))
     return out.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "gram")
@@ -417,12 +417,15 @@ def declarations(spark, d):
 _TYPE = "CASE doc_id % 4 WHEN 0 THEN 'feature_pattern' WHEN 1 THEN 'integration_note' WHEN 2 THEN 'project_characteristic' ELSE 'other' END"
 
 
+_MARKS = ("", " 陷阱", " Pitfall", " caveat", " 注意")
+
+
 def _imported(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.expr(_TYPE).alias("type"), "text", (F.col("n_chars") % 2 == 0).alias("code"))
-    return rows.withColumn("k", I.card_kind(F.col("type"), F.col("text"), F.col("code"), ("thing",))).select("*", "k.kind", "k.rule")
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.expr(_TYPE).alias("type"), F.concat("text", F.get(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % 5).cast("int"))).alias("text"), (F.col("n_chars") % 2 == 0).alias("code"))
+    return rows.withColumn("k", I.card_kind(F.col("type"), F.col("text"), F.col("code"))).select("*", "k.kind", "k.rule")
 
 
-_KIND = f"SELECT *, CASE WHEN type = 'feature_pattern' AND code THEN 'snippet' WHEN type = 'feature_pattern' THEN 'mechanism' WHEN type = 'integration_note' AND contains(lower(text), 'thing') THEN 'gotcha' WHEN type = 'integration_note' THEN 'decision' WHEN type = 'project_characteristic' THEN NULL WHEN code THEN 'snippet' ELSE 'mechanism' END AS kind FROM (SELECT doc_id, source, lang, text, {_TYPE} AS type, n_chars % 2 = 0 AS code FROM documents)"
+_KIND = f"SELECT *, CASE WHEN type = 'feature_pattern' AND code THEN 'snippet' WHEN type = 'feature_pattern' THEN 'mechanism' WHEN type = 'integration_note' AND (doc_id % 5 IN (1, 2) OR regexp_matches(lower(text), 'gotcha|pitfall|陷阱|踩坑|坑')) THEN 'gotcha' WHEN type = 'integration_note' THEN 'decision' WHEN type = 'project_characteristic' THEN NULL WHEN code THEN 'snippet' ELSE 'mechanism' END AS kind FROM (SELECT doc_id, source, lang, text, {_TYPE} AS type, n_chars % 2 = 0 AS code FROM documents)"
 
 
 @query(f"SELECT doc_id, kind FROM ({_KIND})")

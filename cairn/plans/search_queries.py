@@ -40,9 +40,9 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("card_id"), F.col("embedding").alias("vec"), repo.alias("repo_id"), F.concat(F.lit("card "), F.col("label").cast("string"), F.lit("-"), F.col("vec_id").cast("string")).alias("title"), F.col("label"))
 
 
-@query(f"SELECT chunk_id, repo_id, language, kind FROM ({CHUNKS}) WHERE repo_id = 'src1' AND language = 'en' AND kind = 'card'")
+@query(f"SELECT chunk_id, repo_id, language, kind FROM ({CHUNKS}) WHERE repo_id = 'src1' AND language = 'en' AND kind = 'feature'")
 def scan_filter_repo_lang_kind(spark, d):
-    return X.candidates(chunks(spark, d), repo_id="src1", language="en", kind="card").select("chunk_id", "repo_id", "language", "kind")
+    return X.candidates(chunks(spark, d), repo_id="src1", language="en", kind="feature").select("chunk_id", "repo_id", "language", "kind")
 
 
 _UNITS = "CAST(len(regexp_extract_all({0}, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]')) + len(regexp_extract_all({0}, '[A-Za-z0-9_]+')) AS BIGINT)"
