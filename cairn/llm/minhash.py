@@ -3,11 +3,11 @@
 1. One pass over the texts gives each document the number of its distinct shingles, a 128-bit print of the set, a
    SuperMinHash signature and the band hashes. Documents with equal sets form a class at once; its smallest doc_id
    stands for it, so groups of exact copies cost nothing further.
-2. Representatives that share a band are candidates. No large bucket is expanded into all its pairs: first every member
-   is compared with the bucket's smallest member. Where a bucket then still holds several components, its members meet in
-   blocks as parity maps of their sets: two maps differ in at most as many bits as the sets differ in elements, so this
-   filter loses no link. A block gives only as many of the pairs it leaves open as connect its components; rounds go on
-   until none is open.
+2. Representatives that share a band are candidates. No bucket is expanded into all its pairs: members meet in blocks as
+   parity maps of their sets. Two maps differ in at most as many bits as the sets differ in elements, so this filter loses
+   no link. A block gives only as many of the pairs it leaves open as connect its components. In the first round every part
+   of a bucket meets itself and the first part, which settles groups of copies in linear time; after that all parts of
+   the buckets that still hold several components meet, in rounds until no pair is open.
 3. Candidates are confirmed on the full sets, rebuilt from the texts.
 4. Confirmed links are grouped by union-find within tasks and rounds of joins between them.
 """
@@ -196,28 +196,33 @@ def _open_pairs(t: pa.Table, similar: int) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def _parity_maps(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, n, map) of the members' texts."""
+def _parity_maps(texts: DataFrame) -> DataFrame:
+    """(rep, n, map) of the texts."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_map(s).tobytes() for s in sets], pa.binary())], ["rep", "n", "map"])
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    return written(small_batches(texts).join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(draw, "rep long, n long, map binary").dropDuplicates(["rep"]), "maps")
+    return written(small_batches(texts).select("doc_id", "text").mapInArrow(draw, "rep long, n long, map binary").dropDuplicates(["rep"]), "maps")
 
 
-def _block_pairs(members: DataFrame, maps: DataFrame, tested: DataFrame, similar: int) -> DataFrame:
-    """What ``_open_pairs`` gives for all members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
+def _block_pairs(members: DataFrame, maps: DataFrame, tested: DataFrame | None, similar: int) -> DataFrame:
+    """What ``_open_pairs`` gives for members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
 
-    Every two parts of a bucket, of about PART members each, meet in one block; small blocks share a task's group of rows.
+    Every two parts of a bucket, of about PART members each, meet in one block; with nothing tested yet, only parts with
+    themselves and the first. Small blocks share a task's group of rows.
     """
-    groups = max(1, members.count() // 2000)
-    done = tested.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tested"))
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    rows = members.withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    groups, mine = max(1, members.count() // 2000), F.col("mine")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    others = F.when(mine == 0, every).otherwise(F.array_distinct(F.array(F.lit(0), mine))) if tested is None else every
+    rows = members.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component")
-    rows = rows.join(maps, "rep").join(done, "rep", "left")
+    rows = rows.join(maps, "rep")
+    if tested is None:
+        rows = rows.withColumn("tested", F.lit(None).cast("array<long>"))
+    else:
+        rows = rows.join(tested.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tested")), "rep", "left")
     group = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))
     return rows.groupBy(group.alias("group")).applyInArrow(lambda t: _open_pairs(t, similar), "a long, b long").distinct()
 
@@ -237,23 +242,20 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS,
     classes = written(classes, "classes")
     reps = classes.join(sigs.where("n_shingles > 0"), (sigs["print"] == classes["print"]) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("bucket", "size", "hub"), "hubs")
-    members = written(buckets.join(hubs, "bucket"), "members")
-    wanted = written(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "candidate_texts")
-    tested = written(members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    groups, maps = written(components(_confirmed(tested, texts, similar)), "groups"), None
+    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("bucket", "size"), "shared_buckets")
+    members = written(buckets.join(shared, "bucket"), "members")
+    texts = written(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate_texts")
+    maps, tested, groups = _parity_maps(texts), None, None
+    open_ = members.withColumn("component", F.col("rep"))
     while True:
-        open_ = _open_members(members, groups)
-        maps = _parity_maps(open_, texts) if maps is None else maps
         fresh = _block_pairs(open_, maps, tested, similar)
-        fresh = written(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
+        fresh = written(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if tested is not None and fresh.isEmpty():
             break
-        tested = tested.unionByName(fresh)
-        more = written(_confirmed(fresh, texts, similar), "links")
-        if not more.isEmpty():
-            groups = written(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+        more = _confirmed(fresh, texts, similar)
+        more = more if groups is None else more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        groups, tested = written(components(more), "groups"), fresh if tested is None else tested.unionByName(fresh)
+        open_ = _open_members(members, groups)
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
