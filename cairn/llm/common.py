@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df``, whose ``rows`` rows are counted, in no more tasks than one for ``each`` rows and one for each core: a small table needs few."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, with Arrow batches of at most ``rows`` rows from here on unless the session says otherwise: texts are large rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import written
+from cairn.llm.common import tasks, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +37,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the links (a, b): component is the smallest id that links lead to.
 
     Each task first shrinks its links to a forest by union-find; then every node hooks its larger neighbours, and after
-    that itself and its smaller ones, to the smallest of them, until nothing changes. The joins have the node on
+    that itself and its smaller ones, to the smallest of them, until there are only stars: no node hooks to two others, or to one that hooks itself. The joins have the node on
     both sides and a written minimum per node on one, so a node with very many links is split like any skewed key.
     """
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,18 +52,20 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(shrink, "a long, b long").distinct()
-    now, before = written(links, "links"), None
+    now = written(links, "links")
     for _ in range(max_rounds):
+        n = now.count()
+        ends = now.select(F.col("a").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(now.select(F.col("b").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        crossed = ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where(F.col("leaf") + F.col("root") > 1)
+        if not tasks(crossed, n).count():  # nothing but stars
+            break
+        cut = lambda df, name: written(tasks(df, n), name)  # noqa: B023, E731
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = written(both.join(written(least, "least"), "a").where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = cut(both.join(cut(least, "least"), "a").where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         hooked = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(hooked.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("s")).first()
-        if state == before:
-            break
-        before = state
+        now = cut(hooked.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

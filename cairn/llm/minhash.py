@@ -7,7 +7,8 @@
    parity maps of their sets. Two maps differ in at most as many bits as the sets differ in elements, so this filter loses
    no link. A block gives only as many of the pairs it leaves open as connect its components. In the first round every part
    of a bucket meets itself and the first part, which settles groups of copies in linear time; after that all parts of
-   the buckets that still hold several components meet, in rounds until no pair is open.
+   the buckets that still hold several components meet, in rounds until no pair is open, each with pairs that connect a
+   block's components four times as often as the round before, so that refuted pairs cost few rounds.
 3. Candidates are confirmed on the full sets, rebuilt from the texts.
 4. Confirmed links are grouped by union-find within tasks and rounds of joins between them.
 """
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read_table, small_batches, written
+from cairn.llm.common import read_table, small_batches, tasks, written
 from cairn.llm.graph import components
 
 SHINGLE, SIMILAR, SLOTS, BANDS, PART, MAX_MAP = 5, 85, 125, 25, 256, 1 << 17
@@ -130,8 +131,8 @@ def signatures(docs: DataFrame, slots: int = SLOTS, bands: int = BANDS) -> DataF
     return small_batches(docs).select("doc_id", "text").mapInArrow(out, "doc_id long, n_shingles long, print binary, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``b`` may repeat very often: its text joins last, and sorted by it."""
+def _confirmed(pairs: DataFrame, n: int, texts: DataFrame, similar: int) -> DataFrame:
+    """Those of n pairs (a, b) whose full sets are similar enough. ``b`` may repeat very often: its text joins last, and sorted by it."""
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, None
         for batch in batches:
@@ -150,7 +151,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(out, "a long, b long")
+    return tasks(both.select("a", "b", "ta", "tb"), n, 2000).mapInArrow(out, "a long, b long")
 
 
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -170,28 +171,30 @@ def parity_map(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
-def _open_pairs(t: pa.Table, similar: int) -> pa.Table:
-    """Of blocks (bucket, i, j): pairs (a, b) of different components that may link, no more than connect the components of a block."""
+def _open_pairs(t: pa.Table, similar: int, forests: int) -> pa.Table:
+    """Of blocks (bucket, i, j): pairs (a, b) of different components that may link, no more than connect a block's components ``forests`` times."""
     bucket, i_, j_, ids, n, mine, component = (t.column(c).to_numpy() for c in ("bucket", "i", "j", "rep", "n", "mine", "component"))
     maps, tested, out = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()], [set(x or ()) for x in t.column("tested").to_pylist()], []
     width, by = np.array([len(m) for m in maps]), np.lexsort((j_, i_, bucket))
     edge = np.flatnonzero((np.diff(bucket[by]) != 0) | (np.diff(i_[by]) != 0) | (np.diff(j_[by]) != 0)) + 1
     for block in np.split(by, edge):
-        group = np.unique(component[block], return_inverse=True)[1]
+        groups = np.tile(np.unique(component[block], return_inverse=True)[1], (forests, 1))
         for w in np.unique(width[block]):  # sets that may link differ in size by less than twice, maps fold to half their size
             near = np.flatnonzero((width[block] == w) | (width[block] == 2 * w))
             rows = block[near]
             table, size, part = np.stack([maps[x] if width[x] == w else maps[x][:w] ^ maps[x][w:] for x in rows]), n[rows], mine[rows]
             for at in np.flatnonzero(width[rows] == w):
-                fits = (group[near] != group[near[at]]) & (100 * np.minimum(size, size[at]) >= similar * np.maximum(size, size[at])) & ((width[rows] != w) | (near > near[at]))
+                fits = (groups[-1][near] != groups[-1][near[at]]) & (100 * np.minimum(size, size[at]) >= similar * np.maximum(size, size[at])) & ((width[rows] != w) | (near > near[at]))
                 if i_[rows[0]] != j_[rows[0]]:
                     fits &= part != part[at]
                 rest = np.flatnonzero(fits)
                 most = (100 - similar) * (size[at] + size[rest]) // (100 + similar)
                 for y in rest[np.bitwise_count(table[rest] ^ table[at]).sum(1) <= most]:
                     a, b = (rows[at], rows[y]) if ids[rows[at]] > ids[rows[y]] else (rows[y], rows[at])
-                    if group[near[at]] != group[near[y]] and int(ids[b]) not in tested[a]:
+                    apart = np.flatnonzero(groups[:, near[at]] != groups[:, near[y]])
+                    if len(apart) and int(ids[b]) not in tested[a]:
                         out.append((ids[a], ids[b]))
+                        group = groups[apart[0]]
                         group[group == group[near[y]]] = group[near[at]]
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
@@ -206,13 +209,13 @@ def _parity_maps(texts: DataFrame) -> DataFrame:
     return written(small_batches(texts).select("doc_id", "text").mapInArrow(draw, "rep long, n long, map binary").dropDuplicates(["rep"]), "maps")
 
 
-def _block_pairs(members: DataFrame, maps: DataFrame, tested: DataFrame | None, similar: int) -> DataFrame:
-    """What ``_open_pairs`` gives for members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
+def _block_pairs(members: DataFrame, n: int, maps: DataFrame, tested: DataFrame | None, similar: int, forests: int) -> DataFrame:
+    """What ``_open_pairs`` gives for n members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
 
     Every two parts of a bucket, of about PART members each, meet in one block; with nothing tested yet, only parts with
     themselves and the first. Small blocks share a task's group of rows.
     """
-    groups, mine = max(1, members.count() // 2000), F.col("mine")
+    groups, mine = max(1, n // 2000), F.col("mine")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     others = F.when(mine == 0, every).otherwise(F.array_distinct(F.array(F.lit(0), mine))) if tested is None else every
     rows = members.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -224,7 +227,7 @@ def _block_pairs(members: DataFrame, maps: DataFrame, tested: DataFrame | None,
     else:
         rows = rows.join(tested.groupBy(F.col("a").alias("rep")).agg(F.collect_list("b").alias("tested")), "rep", "left")
     group = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))
-    return rows.groupBy(group.alias("group")).applyInArrow(lambda t: _open_pairs(t, similar), "a long, b long").distinct()
+    return tasks(rows.groupBy(group.alias("group")).applyInArrow(lambda t: _open_pairs(t, similar, forests), "a long, b long").distinct(), n)
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -242,19 +245,25 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS,
     classes = written(classes, "classes")
     reps = classes.join(sigs.where("n_shingles > 0"), (sigs["print"] == classes["print"]) & (F.col("doc_id") == F.col("rep"))).select("rep", "bands")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("bucket", "size"), "shared_buckets")
-    members = written(buckets.join(shared, "bucket"), "members")
+    who = [F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("top"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2")]
+    shared = buckets.groupBy("bucket").agg(*who).where("low < top")
+    shared = shared.groupBy("size", "low", "top", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # of buckets with equal members, one
+    members = written(buckets.join(written(shared, "shared_buckets"), "bucket"), "members")
     texts = written(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate_texts")
-    maps, tested, groups = _parity_maps(texts), None, None
+    maps, tested, groups, forests = _parity_maps(texts), None, None, 1
     open_ = members.withColumn("component", F.col("rep"))
     while True:
-        fresh = _block_pairs(open_, maps, tested, similar)
-        fresh = written(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if tested is not None and fresh.isEmpty():
+        found = _block_pairs(open_, open_.count(), maps, tested, similar, forests)
+        fresh = written(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        n = fresh.count()
+        if tested is not None and not n:
+            break
+        links = written(_confirmed(fresh, n, texts, similar), "confirmed")
+        done = tested is not None and links.count() == n  # all parts met, and what might link does
+        both = links if groups is None else links.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        groups, tested, forests = written(components(both), "groups"), fresh if tested is None else tested.unionByName(fresh), forests * 4
+        if done:
             break
-        more = _confirmed(fresh, texts, similar)
-        more = more if groups is None else more.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        groups, tested = written(components(more), "groups"), fresh if tested is None else tested.unionByName(fresh)
         open_ = _open_members(members, groups)
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
