@@ -7,8 +7,9 @@
    parity maps of their sets. Two maps differ in at most as many bits as the sets differ in elements, so this filter loses
    no link. A block gives only as many of the pairs it leaves open as connect its components. In the first round every part
    of a bucket meets itself and the first part, which settles groups of copies in linear time; after that all parts of
-   the buckets that still hold several components meet, in rounds until no pair is open, each with pairs that connect a
-   block's components four times as often as the round before, so that refuted pairs cost few rounds.
+   the buckets that still hold several components meet, but for those of a bucket's largest one, in rounds until no pair
+   is open, each with pairs that connect a block's components four times as often as the round before, so that refuted
+   pairs cost few rounds.
 3. Candidates are confirmed on the full sets, rebuilt from the texts.
 4. Confirmed links are grouped by union-find within tasks and rounds of joins between them.
 """
@@ -155,11 +156,12 @@ def _confirmed(pairs: DataFrame, n: int, texts: DataFrame, similar: int) -> Data
 
 
 def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members, with their components, of buckets that hold more than one component."""
+    """The members, with their components, of buckets that hold more than one component, and how many are in the largest one there (main) and not (rest)."""
     who = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    who = written(who.select("bucket", "size", "rep", F.coalesce("component", "rep").alias("component")), "bucket_components")
-    mixed = who.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return written(who.join(written(mixed, "mixed"), "bucket", "left_semi"), "open_members")
+    who = written(who.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "bucket_components")
+    sizes = who.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket")
+    mixed = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("main"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    return written(who.join(written(mixed, "mixed"), "bucket").withColumn("largest", F.col("largest") == F.col("component")), "open_members")
 
 
 def parity_map(items: np.ndarray) -> np.ndarray:
@@ -210,15 +212,21 @@ def _parity_maps(texts: DataFrame) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, n: int, maps: DataFrame, tested: DataFrame | None, similar: int, forests: int) -> DataFrame:
-    """What ``_open_pairs`` gives for n members (bucket, size, rep, component) of open buckets, but for ``tested`` pairs.
+    """What ``_open_pairs`` gives for n members (bucket, rep, component) of open buckets, but for ``tested`` pairs.
 
-    Every two parts of a bucket, of about PART members each, meet in one block; with nothing tested yet, only parts with
-    themselves and the first. Small blocks share a task's group of rows.
+    With nothing tested yet, parts of about PART members of a bucket of ``size`` meet themselves and the first. After that
+    every two parts meet, but for two of the bucket's largest component, whose members are known to belong together: a
+    bucket of copies and a few others takes as many rows as it has members. Small blocks share a task's group of rows.
     """
-    groups, mine = max(1, n // 2000), F.col("mine")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    others = F.when(mine == 0, every).otherwise(F.array_distinct(F.array(F.lit(0), mine))) if tested is None else every
-    rows = members.withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    groups, mine, dealt = max(1, n // 2000), F.col("mine"), F.xxhash64("rep")
+    parts = lambda c: F.ceil(F.col(c) / PART).cast("int")
+    if tested is None:
+        rows = members.withColumn("mine", F.pmod(dealt, parts("size")).cast("int"))
+        others = F.when(mine == 0, F.sequence(F.lit(0), parts("size") - 1)).otherwise(F.array_distinct(F.array(F.lit(0), mine)))
+    else:
+        one, rest, main = F.col("main") + F.col("rest") <= PART, F.pmod(dealt, parts("rest")), F.pmod(dealt, parts("main"))
+        rows = members.withColumn("mine", F.when(one, 0).when(F.col("largest"), parts("rest") + main).otherwise(rest).cast("int"))
+        others = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts("rest") - 1 + F.when(F.col("largest"), 0).otherwise(parts("main"))))
     rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "component")
     rows = rows.join(maps, "rep")
@@ -249,7 +257,8 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR, slots: int = SLOTS,
     shared = buckets.groupBy("bucket").agg(*who).where("low < top")
     shared = shared.groupBy("size", "low", "top", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # of buckets with equal members, one
     members = written(buckets.join(written(shared, "shared_buckets"), "bucket"), "members")
-    texts = written(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate_texts")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")  # they grow with the input: never broadcast
+    texts = written(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "candidate_texts")
     maps, tested, groups, forests = _parity_maps(texts), None, None, 1
     open_ = members.withColumn("component", F.col("rep"))
     while True:
