@@ -104,6 +104,24 @@ def test_a_family_of_one_template_is_not_confirmed_pair_by_pair(spark, monkeypat
     assert sum(seen) <= 30 * len(texts) + len(links)
 
 
+def test_parts_of_open_buckets_meet(spark, monkeypatch):
+    """With parts of 8: buckets of a large component, smaller ones and single documents, each link found."""
+    monkeypatch.setattr(minhash, "PART", 8)
+    rng = random.Random(14)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for family in range(4):
+        for k in range((60, 25, 12, 3)[family]):
+            text = list(base)
+            for j in range(family):
+                text[20 + 25 * j] = f"f{family}"
+            text[-1 - k % 3] = f"c{k}" if rng.random() < 0.8 else f"c{k % 5}"
+            texts.append(" ".join(text))
+    sets = [sets_of(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(grouped(len(texts), links))) and len(set(got.values())) > 1
+
+
 def test_parity_maps_differ_less_than_sets():
     rng = np.random.default_rng(2)
     for n in (3, 90, 700, 30_000):
