@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from cairn.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, substring_dedup, topk, toxicity, url_filter
+from cairn.llm import bpe, chat, conversation_repair, embedding_dedup, exact_dedup, line_dedup, minhash, mixing, substring_dedup, topk, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 SQL = {
     "op1_minhash": minhash.SQL,
@@ -21,4 +24,6 @@ SQL = {
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_chat": chat.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
