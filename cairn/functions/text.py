@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CJK = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\u3040-\\u30ff\\uac00-\\ud7af]"
 PLACEHOLDERS = ("n/a", "na", "无", "未知", "待补充", "todo", "tbd", "???")
 AXIS_NOISE = " \t\r\n.,;:!?、，。；：！？「」『』（）()【】[]{}<>《》…—～~·|/\\\"@#$%^&*+=_`'’‘“”"
-REPO_HOSTS = ("github.com", "gitlab.com", "bitbucket.org", "gitee.com", "codeberg.org")
+REPO_HOSTS = ("github.com", "gitlab.com", "gitee.com")
 
 
 def units(text: Column) -> Column:
@@ -60,7 +60,7 @@ def slug(text: Column) -> Column:
 def repo_parts(url: Column, hosts: tuple[str, ...] = REPO_HOSTS) -> Column:
     """(host, owner, name) of an https or scp-style repository address on an allowed host, else null."""
     u = F.btrim(F.coalesce(url, F.lit("")))
-    web, scp = r"^https://([^/]+)/([^/]+)/([^/?#]+?)(?:[.]git)?/?$", r"^git@([^:/]+):([^/]+)/([^/]+?)(?:[.]git)?$"
+    web, scp = r"^https://([^/]+)/([^/]+)/([^/?#]+?)(?:[.]git)?/?$", r"^(?:[\w.-]+@)?([\w.-]+):([^/]+)/(.+?)(?:[.]git)?$"
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(u, web, i), F.lit("")), F.nullif(F.regexp_extract(u, scp, i), F.lit("")))
     host = F.lower(part(1))
     return F.when(host.isin(*hosts) & part(3).isNotNull(), F.struct(host.alias("host"), part(2).alias("owner"), part(3).alias("name")))

@@ -210,11 +210,12 @@ def session_totals(spark, d):
 
 
 @query("""
-WITH s AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'begun' WHEN 1 THEN 'evidence_taken' WHEN 2 THEN 'drafting' WHEN 3 THEN 'validated' WHEN 4 THEN 'committed' ELSE 'abandoned' END AS state FROM conversations),
+WITH s AS (SELECT conv_id, turn, CASE (conv_id + turn * (turn - 1) // 2) % 6 WHEN 0 THEN 'begun' WHEN 1 THEN 'evidence_taken' WHEN 2 THEN 'drafting' WHEN 3 THEN 'validated' WHEN 4 THEN 'committed' ELSE 'abandoned' END AS state FROM conversations),
 b AS (SELECT *, lag(state) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM s)
-SELECT conv_id, turn, before IS NULL OR (before || '>' || state) IN (""" + ", ".join(f"'{a}>{b}'" for a, b in S.TRANSITIONS) + ") AS allowed FROM b")
+SELECT conv_id, turn, before IS NULL OR before = state OR (before = 'begun' AND state IN ('evidence_taken', 'drafting', 'abandoned')) OR (before = 'evidence_taken' AND state IN ('drafting', 'abandoned'))
+  OR (before = 'drafting' AND state IN ('validated', 'abandoned')) OR (before = 'validated' AND state IN ('committed', 'drafting', 'abandoned')) AS allowed FROM b""")
 def session_transitions(spark, d):
-    state = F.get(F.array(*[F.lit(s) for s in S.STATES]), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    state = F.get(F.array(*[F.lit(s) for s in S.STATES]), F.expr("(conv_id + turn * (turn - 1) div 2) % 6").cast("int"))
     steps = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), state.alias("state"))
     return S.check_transitions(steps).select(F.col("session_id").alias("conv_id"), F.col("at").alias("turn"), "allowed")
 
@@ -385,13 +386,37 @@ def tree_levels(spark, d):
     return P.tree(files).groupBy("type", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
 
-@query(r"""
-WITH f AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p, lower(html) AS t FROM pages)
-SELECT page_id, CASE WHEN regexp_matches('/' || p, '/tests?/') THEN 'test' WHEN starts_with(lower(p), 'docs/') OR ends_with(lower(p), '.md') THEN 'docs'
+#: File names of every kind, dealt out over the pages.
+_NAMES = "['main.py', '__main__.py', 'app.py', 'manage.py', 'main.go', 'main.rs', 'index.js', 'index.ts', 'server.py', 'server.js', 'server.ts', 'test_a.py', 'a_test.go', 'a.test.js', 'a.test.ts', 'setup.py', 'pyproject.toml', 'package.json', 'Cargo.toml', 'go.mod', 'requirements.txt', 'pom.xml', 'build.gradle', 'Dockerfile.dev', 'Makefile', 'docker-compose.yml', 'docker-compose.yaml', 'README.rst', 'a.md', 'Main.java', 'a.py']"
+
+
+@query(rf"""
+WITH f AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^[a-z]+://([^?#]*)', 1) ELSE CASE WHEN page_id % 3 = 0 THEN 'tests/' WHEN page_id % 5 = 0 THEN 'docs/' ELSE '' END || ({_NAMES})[1 + (page_id // 2) % 31] END AS p, lower(html) AS t FROM pages),
+n AS (SELECT *, string_split(p, '/')[-1] AS name FROM f)
+SELECT page_id, CASE WHEN name IN ('main.py', '__main__.py', 'app.py', 'manage.py', 'main.go', 'main.rs', 'index.js', 'index.ts') THEN 'main' WHEN name IN ('server.py', 'server.js', 'server.ts') THEN 'server'
+  WHEN starts_with(name, 'test_') OR ends_with(name, '_test.go') OR ends_with(name, '.test.js') OR ends_with(name, '.test.ts') OR contains('/' || p, '/tests/') OR contains('/' || p, '/test/') THEN 'test'
+  WHEN name IN ('setup.py', 'pyproject.toml', 'package.json', 'Cargo.toml', 'go.mod', 'requirements.txt', 'pom.xml', 'build.gradle') THEN 'config'
+  WHEN starts_with(name, 'Dockerfile') OR name IN ('Makefile', 'docker-compose.yml', 'docker-compose.yaml') THEN 'build' WHEN starts_with(lower(p), 'docs/') OR lower(name) = 'readme.rst' OR ends_with(lower(p), '.md') THEN 'docs'
   WHEN regexp_matches(t, 'argparse|click\.command|typer|cobra\.command') THEN 'cli' WHEN regexp_matches(t, 'flask\(|fastapi\(|uvicorn\.run|http\.server|express\(\)|createserver\(|actix_web|axum::') THEN 'server'
-  WHEN regexp_matches(t, 'celery|rq\.worker|worker\(|grpc\.server') THEN 'worker' END AS role FROM f""")
+  WHEN regexp_matches(t, 'celery|rq\.worker|worker\(|grpc\.server') THEN 'worker' END AS role FROM n""")
 def entry_points(spark, d):
-    return table(spark, d, "pages").select("page_id", P.entry_point(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), F.col("html")).alias("role"))
+    """Every second page by its own path, the others by a file name of each kind, in the root, under tests or under docs."""
+    name = F.get(F.expr(_NAMES.replace("[", "array(").replace("]", ")")), F.expr("page_id div 2 % 31").cast("int"))
+    folder = F.when(F.col("page_id") % 3 == 0, "tests/").when(F.col("page_id") % 5 == 0, "docs/").otherwise("")
+    path = F.when(F.col("page_id") % 2 == 0, F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1)).otherwise(F.concat(folder, name))
+    return table(spark, d, "pages").select("page_id", P.entry_point(path, F.col("html")).alias("role"))
+
+
+_ADDRESS = "CASE page_id % 9 WHEN 0 THEN 'https://github.com/' || r || '.git' WHEN 1 THEN 'git@gitlab.com:' || r || '.git' WHEN 2 THEN ' https://GitHub.com/' || r || '/ ' WHEN 3 THEN 'http://github.com/' || r WHEN 4 THEN 'https://bitbucket.org/' || r WHEN 5 THEN 'gitee.com:' || r WHEN 6 THEN 'https://gitee.com/only-owner' WHEN 7 THEN '' ELSE url END"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, 'Own.er-' || (page_id % 7) || '/Na_me' || page_id AS r FROM pages), a AS (SELECT page_id, trim({_ADDRESS}) AS u FROM p)
+SELECT page_id, CASE WHEN page_id % 9 IN (0, 2) THEN 'github.com' WHEN page_id % 9 = 1 THEN 'gitlab.com' WHEN page_id % 9 = 5 THEN 'gitee.com' END || '__Own.er-' || (page_id % 7) || '__Na_me' || page_id AS repo_id FROM a""")
+def repo_addresses(spark, d):
+    """Addresses of both forms on allowed and other hosts, with other schemes and without a name."""
+    rows = table(spark, d, "pages").selectExpr("page_id", "url", "'Own.er-' || (page_id % 7) || '/Na_me' || page_id AS r").selectExpr("page_id", f"{_ADDRESS} AS u")
+    return rows.select("page_id", T.repo_id(T.repo_parts(F.col("u"))).alias("repo_id"))
 
 
 @query("""

@@ -56,6 +56,9 @@ def test_sessions(spark):
     assert rows(S.resumable(s, F.lit("c1")), "session_id") == []  # the newest one is about another commit
     steps = spark.createDataFrame([("x", 1, "begun"), ("x", 2, "drafting"), ("x", 3, "committed"), ("y", 1, "validated")], "session_id string, at int, state string")
     assert [r.allowed for r in S.check_transitions(steps).orderBy("session_id", "at").collect()] == [True, True, False, True]
+    more = [("drafting", "drafting", True), ("committed", "abandoned", False), ("committed", "committed", True), ("validated", "drafting", True), ("abandoned", "begun", False)]
+    steps = spark.createDataFrame([(i, at, s) for i, (a, b, _) in enumerate(more) for at, s in enumerate((a, b))], "session_id int, at int, state string")
+    assert [r.allowed for r in S.check_transitions(steps).where("at = 1").orderBy("session_id").collect()] == [x[2] for x in more]
     calls = spark.createDataFrame([("k", 0.0, 1), ("k", 0.1, 2), ("k", 0.2, 3), ("k", 10.0, 4), ("j", 0.0, 5)], "key string, at double, call_id long")
     assert rows(S.admitted(calls, 1.0, 2.0), "call_id", "admitted") == [(1, True), (2, True), (3, False), (4, True), (5, True)]
 
