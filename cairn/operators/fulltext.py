@@ -7,13 +7,16 @@ the candidates before each channel is cut to its top rows, and never change N, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import grams, trigrams
+from cairn.operators.postings import PostingIndex, gram_rows
 from cairn.sources.tables import checkpointed
 
 TOP, MAX_GRAMS, K1, B = 50, 48, 1.2, 0.75
+#: Grams of queries that are broadcast to the postings; more are joined by shuffle.
+SMALL_GRAMS = 200_000
 
 
 def candidates(chunks: DataFrame, repo_id: str | None = None, language: str | None = None, kind: str | None = None) -> DataFrame:
@@ -30,11 +33,9 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, gram, tf): how often each chunk holds each trigram of its lower-cased text; only wanted grams, if given."""
-    rows = chunks.select("chunk_id", F.explode(grams(F.lower("text"))).alias("gram"))
-    if wanted is not None:
-        rows = rows.join(wanted, "gram", "left_semi")
-    return rows.groupBy("chunk_id", "gram").agg(F.count("*").alias("tf"))
+    """(chunk_id, gram, tf, dl): how often each chunk holds each trigram of its lower-cased text; only wanted grams, if given."""
+    rows = gram_rows(chunks)
+    return rows if wanted is None else rows.join(wanted, "gram", "left_semi")
 
 
 def _bm25(tf: Column, dl: Column, n: Column, total: Column, mean: Column) -> Column:
@@ -47,28 +48,44 @@ def query_grams(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.slice(trigrams(F.lower("query")), 1, MAX_GRAMS)).alias("gram"))
 
 
-def trigram_scores(chunks: DataFrame, queries: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): BM25 of the query's trigrams joined by OR. Queries are (query_id, query)."""
+def trigram_scores(chunks: DataFrame, queries: DataFrame, among: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): BM25 of the query's trigrams joined by OR. Queries are (query_id, query).
+
+    With an ``index`` of the chunks, no text is read.
+    """
     asked = query_grams(queries)
-    found = postings(chunks, asked.select("gram").distinct())
+    wanted = asked.select("gram").distinct()
+    found = index.asked(wanted) if index else postings(chunks, wanted)
     df = found.groupBy("gram").agg(F.count("*").alias("n"))
-    stats = lengths(chunks).agg(F.count("*").alias("total"), F.avg("dl").alias("mean"))
+    stats = index.statistics() if index else lengths(chunks).agg(F.count("*").alias("total"), F.avg("dl").alias("mean"))
     if among is not None:
         found = found.join(among.select("chunk_id"), "chunk_id", "left_semi")
-    hits = asked.join(found, "gram").join(df, "gram").join(lengths(chunks), "chunk_id").join(F.broadcast(stats))  # one row
+    asked = asked.join(df, "gram")
+    small = queries.count() * MAX_GRAMS <= SMALL_GRAMS
+    hits = found.join(F.broadcast(asked) if small else asked, "gram").join(F.broadcast(stats))  # one row
     score = _bm25(F.col("tf"), F.col("dl"), F.col("n"), F.col("total"), F.col("mean"))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(score).alias("score"))
 
 
-def phrase_scores(chunks: DataFrame, query: str, among: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, score): BM25 of the query as one phrase; a query under three characters finds nothing."""
+def _grams_of(query: str, spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array_distinct(grams(F.lit(query)))).alias("gram"))
+
+
+def phrase_scores(chunks: DataFrame, query: str, among: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
+    """(chunk_id, score): BM25 of the query as one phrase; a query under three characters finds nothing.
+
+    With an ``index`` of the chunks, only texts that hold all of the phrase's trigrams are read.
+    """
     q = query.strip().lower()
     text = F.lower("text")
     # overlapping occurrences of the phrase
     tf = F.regexp_count(text, F.concat(F.lit("(?s)(?=\\Q"), F.replace(F.lit(q), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)")))
     dl = F.greatest(F.char_length(text) - 2, F.lit(0))
+    if index and len(q) >= 3:
+        chunks = index.holding_all(_grams_of(q, chunks.sparkSession))
     rows = chunks.select("chunk_id", dl.alias("dl"), F.when(F.contains(text, F.lit(q)), tf).otherwise(0).alias("tf"))
-    stats = rows.agg(F.count("*").alias("total"), F.avg("dl").alias("mean"), F.count_if(F.col("tf") > 0).alias("n"))
+    n = F.count_if(F.col("tf") > 0).alias("n")
+    stats = index.statistics().join(F.broadcast(rows.agg(n))) if index else rows.agg(F.count("*").alias("total"), F.avg("dl").alias("mean"), n)
     hits = rows.where((F.col("tf") > 0) & F.lit(len(q) >= 3))
     if among is not None:
         hits = hits.join(among.select("chunk_id"), "chunk_id", "left_semi")
@@ -85,29 +102,31 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
 
 
-def keyword_channel(chunks: DataFrame, query: str, among: DataFrame | None = None) -> DataFrame:
+def keyword_channel(chunks: DataFrame, query: str, among: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
     """Phrase hits, or where there are none, hits of the query's trigrams: (chunk_id, score), TOP rows at most.
 
     The phrase hits are written at once, so that the costlier trigram plan runs only if they are none.
     """
-    exact = checkpointed(top(phrase_scores(chunks, query, among)))
+    exact = checkpointed(top(phrase_scores(chunks, query, among, index)))
     if not exact.isEmpty() or len(query.strip()) < 3:
         return exact
     asked = chunks.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return top(trigram_scores(chunks, asked, among).select("chunk_id", "score"))
+    return top(trigram_scores(chunks, asked, among, index).select("chunk_id", "score"))
 
 
-def substring_channel(chunks: DataFrame, query: str, count_hits: bool = True) -> DataFrame:
+def substring_channel(chunks: DataFrame, query: str, count_hits: bool = True, index: PostingIndex | None = None) -> DataFrame:
     """Chunks that hold the query itself, in order of id, or else any of its trigrams, by how many of them they hold.
 
-    ``count_hits=False`` keeps the order of ids there, too.
+    ``count_hits=False`` keeps the order of ids there, too. ``chunks`` are those to search; with an ``index``, texts are read
+    only of those that hold all trigrams of the query, and none are for its single trigrams.
     """
     q, text = query.strip().lower(), F.lower("text")
-    exact = checkpointed(chunks.where(F.contains(text, F.lit(q)) & F.lit(q != "")).select("chunk_id", F.lit(1.0).alias("score")).orderBy("chunk_id").limit(TOP))
+    spark, mine = chunks.sparkSession, chunks.select("chunk_id")
+    whole = index.holding_all(_grams_of(q, spark)).join(mine, "chunk_id", "left_semi") if index and len(q) >= 3 else chunks
+    exact = checkpointed(whole.where(F.contains(text, F.lit(q)) & F.lit(q != "")).select("chunk_id", F.lit(1.0).alias("score")).orderBy("chunk_id").limit(TOP))
     if not exact.isEmpty():
         return exact
-    pieces = F.slice(trigrams(F.lit(q)), 1, MAX_GRAMS)
-    # the text in lower case is a column of its own: within the lambda it would be made anew for every piece
-    hits = F.size(F.filter(pieces, lambda g: F.contains(F.col("low"), g)))
-    lowered = chunks.select("chunk_id", F.explode(F.array(text)).alias("low"))
-    return lowered.select("chunk_id", (hits if count_hits else F.least(hits, F.lit(1))).cast("double").alias("score")).where("score > 0").orderBy(F.desc("score"), "chunk_id").limit(TOP)
+    asked = query_grams(spark.range(1).select(F.lit(0).alias("query_id"), F.lit(q).alias("query"))).select("gram")
+    found = index.asked(asked).join(mine, "chunk_id", "left_semi") if index else postings(chunks, asked)
+    held = found.groupBy("chunk_id").agg(F.count("*").alias("hits"))
+    return held.select("chunk_id", (F.col("hits") if count_hits else F.lit(1)).cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(TOP)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from cairn.functions.vectors import hash_embedding
 from cairn.operators import clustering as C
 from cairn.operators import fulltext as X
 from cairn.operators import retrieval as R
-from cairn.sources.tables import checkpointed, table
+from cairn.operators.postings import PostingIndex
+from cairn.sources.snapshots import Snapshots
+from cairn.sources.tables import checkpointed, shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,6 +39,18 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("repo_id"), F.col("lang").alias("language"), kind.alias("kind"))
 
 
+_INDEXES: dict[tuple[str, str], PostingIndex] = {}
+
+
+def index(spark: SparkSession, d: str) -> PostingIndex:
+    """The stored postings of the chunks, built when a query of the session first asks for them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES or not _INDEXES[key].store.version():
+        _INDEXES[key] = PostingIndex(Snapshots(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"))
+        _INDEXES[key].build(chunks(spark, d))
+    return _INDEXES[key]
+
+
 def cards(spark: SparkSession, d: str) -> DataFrame:
     repo = F.concat(F.lit("r"), (F.col("vec_id") % 7).cast("string"))
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("card_id"), F.col("embedding").alias("vec"), repo.alias("repo_id"), F.concat(F.lit("card "), F.col("label").cast("string"), F.lit("-"), F.col("vec_id").cast("string")).alias("title"), F.col("label"))
@@ -71,7 +87,21 @@ _GRAMS = "SELECT chunk_id, substr(t, i, 3) AS gram FROM (SELECT chunk_id, lower(
 
 @query(f"SELECT gram, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM ({_GRAMS.format(CHUNKS)}) GROUP BY gram")
 def trigram_df(spark, d):
-    return X.postings(chunks(spark, d)).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, d).store.read("postings").groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+_FRESH = f"SELECT chunk_id, repo_id, CASE WHEN repo_id IN ('src1', 'src2') THEN 'v2 ' || text ELSE text END AS text FROM ({CHUNKS}) WHERE repo_id <> 'src2' OR chunk_id % 2 = 0"
+
+
+@query(f"SELECT gram, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM ({_GRAMS.format(_FRESH)}) GROUP BY gram")
+def postings_replaced(spark, d):
+    """The stored postings after two repositories are replaced: their texts changed, half of one's chunks gone."""
+    c = chunks(spark, d)
+    stored = PostingIndex(Snapshots(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"))
+    stored.build(c)
+    fresh = c.where("repo_id = 'src1' OR (repo_id = 'src2' AND chunk_id % 2 = 0)").withColumn("text", F.concat(F.lit("v2 "), "text"))
+    stored.replace(c.where("repo_id IN ('src1', 'src2')").select("repo_id").distinct(), fresh)
+    return stored.store.read("postings").groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 _BM = "greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / mean))"
@@ -87,7 +117,7 @@ ORDER BY score DESC, chunk_id LIMIT 50"""
 
 @query(_PHRASE)
 def bm25_phrase(spark, d):
-    return X.top(X.phrase_scores(chunks(spark, d), PHRASE))
+    return X.top(X.phrase_scores(chunks(spark, d), PHRASE, index=index(spark, d)))
 
 
 _BENCH = f"""
@@ -107,14 +137,14 @@ SELECT item_id AS query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT
 @query(_BENCH)
 def bm25_trigram_or(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = X.trigram_scores(chunks(spark, d), asked).withColumn("score", F.round("score", 9))
+    scores = X.trigram_scores(chunks(spark, d), asked, index=index(spark, d)).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scores.withColumn("rank", rank).where("rank <= 10").withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT chunk_id, 1.0::DOUBLE AS score FROM ({CHUNKS}) WHERE contains(lower(text), '{PHRASE}') ORDER BY chunk_id LIMIT 50")
 def substr_contig(spark, d):
-    return X.substring_channel(chunks(spark, d), PHRASE)
+    return X.substring_channel(chunks(spark, d), PHRASE, index=index(spark, d))
 
 
 def _pieces(q: str) -> list[str]:
@@ -126,12 +156,12 @@ _HITS = " + ".join(f"CAST(contains(lower(text), '{g}') AS INTEGER)" for g in _pi
 
 @query(f"SELECT chunk_id, CAST(hits AS DOUBLE) AS score FROM (SELECT chunk_id, {_HITS} AS hits FROM ({CHUNKS})) WHERE hits > 0 ORDER BY hits DESC, chunk_id LIMIT 50")
 def substr_hits(spark, d):
-    return X.substring_channel(chunks(spark, d), LOOSE)
+    return X.substring_channel(chunks(spark, d), LOOSE, index=index(spark, d))
 
 
 @query(f"SELECT chunk_id, 1.0::DOUBLE AS score FROM (SELECT chunk_id, {_HITS} AS hits FROM ({CHUNKS})) WHERE hits > 0 ORDER BY chunk_id LIMIT 50")
 def substr_parity(spark, d):
-    return X.substring_channel(chunks(spark, d), LOOSE, count_hits=False)
+    return X.substring_channel(chunks(spark, d), LOOSE, count_hits=False, index=index(spark, d))
 
 
 @query("""
@@ -191,19 +221,28 @@ def _shown(hits: DataFrame) -> DataFrame:
 
 @query(_hybrid("true"))
 def hybrid_search(spark, d):
-    return _shown(R.hybrid_search(chunks(spark, d), PHRASE))
+    return _shown(R.hybrid_search(chunks(spark, d), PHRASE, index=index(spark, d)))
 
 
 @query(_hybrid("language = 'en' AND kind = 'feature'"))
 def hybrid_filtered(spark, d):
-    return _shown(R.hybrid_search(chunks(spark, d), PHRASE, language="en", kind="feature"))
+    return _shown(R.hybrid_search(chunks(spark, d), PHRASE, index=index(spark, d), language="en", kind="feature"))
 
 
-@query()
+_COS = f"round(list_cosine_similarity({_VEC.format('text')}, {_VEC.format(chr(39) + PHRASE + chr(39))}), 9)"
+
+
+@query(f"""
+WITH c AS ({CHUNKS}), {_votes('true')},
+v AS (SELECT chunk_id, row_number() OVER (ORDER BY cos DESC, chunk_id) AS rank FROM (SELECT chunk_id, {_COS} AS cos FROM c) ORDER BY cos DESC, chunk_id LIMIT 50),
+u AS (SELECT chunk_id, rank, 'keyword' AS channel FROM k UNION ALL SELECT chunk_id, rank, 'vector' FROM v),
+f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS fused FROM u GROUP BY chunk_id),
+m AS (SELECT chunk_id, string_agg(channel, ',' ORDER BY channel) AS matched_by FROM (SELECT chunk_id, channel FROM u UNION ALL SELECT chunk_id, 'substr' FROM s) GROUP BY chunk_id)
+SELECT chunk_id, kind, repo_id, round(fused * {_PRIOR}, 6) AS score, matched_by FROM f JOIN c USING (chunk_id) JOIN m USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT 10""")
 def hybrid_three_channels(spark, d):
     c = chunks(spark, d)
     vectors = c.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("vec"))
-    return _shown(R.hybrid_search(c, PHRASE, vectors=vectors, query_vector=_hash_vector(PHRASE)))
+    return _shown(R.hybrid_search(c, PHRASE, vectors=vectors, query_vector=_hash_vector(PHRASE), index=index(spark, d)))
 
 
 @query(f"""

@@ -13,18 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder of spark.checkpoint.dir and read back; where that is unset, in local mode only, a temporary one."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where that is unset, in local mode only, a temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/step-{uuid.uuid4().hex}"
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_known: list[str] = (), append: list[str] = ()) -> DataFrame:
