@@ -343,9 +343,3 @@ WHERE running <= 900 OR place = 1""")
 def cluster_text_budget(spark, d):
     m = table(spark, d, "documents").select(F.col("source").alias("cluster"), F.col("doc_id").alias("card_id"), "text")
     return C.within_budget(m, 900).select("cluster", "card_id", F.col("units").cast("long").alias("units"), F.col("running").cast("long").alias("running"))
-
-
-@query(_CLUSTERS + ", k AS (SELECT cluster FROM mm GROUP BY cluster HAVING count(DISTINCT source_group) >= 2) SELECT substr(sha1(string_agg(CAST(card_id AS VARCHAR), ',' ORDER BY card_id)), 1, 10) AS key, cluster, count(*) AS card_count, count(DISTINCT source_group) AS repo_count, arg_min(title, (length(title), card_id)) AS title FROM mm WHERE cluster IN (SELECT cluster FROM k) GROUP BY cluster")
-def pattern_rows(spark, d):
-    m = C.spanning(_members(spark, d)[0]).withColumn("tags", F.array(F.col("label").cast("string"))).withColumn("text", F.col("title"))
-    return C.pattern_rows(m).select("key", "cluster", "card_count", "repo_count", "title")
