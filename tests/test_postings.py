@@ -88,7 +88,7 @@ def corpus(spark):
     return rows
 
 
-@pytest.mark.parametrize("query", ["of the lease", "lease backoff zzqq", "状态机", "x", "qqq zzz"])
+@pytest.mark.parametrize("query", ["of the lease", "lease backoff zzqq 状态机", "x"])
 def test_channels_find_the_same_with_and_without_the_index(spark, tmp_path, corpus, query):
     chunks = spark.createDataFrame(corpus, KIND)
     index = PostingIndex(store(spark, tmp_path), buckets=16, shards=3)
