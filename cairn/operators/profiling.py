@@ -5,11 +5,14 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.sources.tables import checkpointed
+
 # Fixed values.
 LANGUAGE = {
     "py": "python", "pyi": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "js": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -93,18 +96,34 @@ def entry_point(path: Column, text: Column) -> Column:
     return F.coalesce(*given)
 
 
-def declarations(files: DataFrame, cap: int | None = None) -> DataFrame:
-    """(path, line, kind, name) of the first declaration pattern that each line outside comments fits; the first ``cap`` by path and line."""
-    rows = files.select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("i", "code")).select("path", (F.col("i") + 1).alias("line"), "code")
+def capped(rows: DataFrame, within: list[str], order: list[str], cap: int | Column) -> DataFrame:
+    """The first ``cap`` rows of each group ``within``, in order, with their ``place`` in it and the group's ``total``.
+
+    Rows are sorted over all tasks; counts per task and group give the places, so no group meets in one task. Group columns
+    must not be null.
+    """
+    dealt = rows.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+    placed = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*within)
+    counts = placed.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*within, "_part", before.alias("_before"), F.sum("_n").over(group).alias("total"))
+    here = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order))
+    both = placed.withColumn("_here", here).join(counts, [*within, "_part"])
+    return both.withColumn("place", F.col("_before") + F.col("_here")).where(F.col("place") <= cap).drop("_part", "_here", "_before")
+
+
+def declarations(files: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., path, line, kind, name) of the first declaration pattern that each line outside comments fits."""
+    rows = files.select(*keep, "path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("i", "code")).select(*keep, "path", (F.col("i") + 1).alias("line"), "code")
     bare = F.btrim("code", F.lit(" \t"))
     comment = F.greatest(*[bare.startswith(p).cast("int") for p in COMMENTS]) == 1
     hit = F.coalesce(*[F.when(F.col("code").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", p, 1).alias("name"))) for kind, p in declaration_rules()])
-    out = rows.where((bare != "") & ~comment).withColumn("hit", hit).where("hit IS NOT NULL").select("path", "line", "hit.kind", "hit.name")
-    return out.orderBy("path", "line").limit(cap) if cap is not None else out
+    return rows.where((bare != "") & ~comment).withColumn("hit", hit).where("hit IS NOT NULL").select(*keep, "path", "line", "hit.kind", "hit.name")
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """(path, name, kind, start_line, end_line, exported) of the functions, methods, classes and assignments of Python files (path, text); files that do not parse have none."""
+def python_symbols(files: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., path, name, kind, start_line, end_line, exported) of the functions, methods, classes and assignments of Python files (path, text); files that do not parse have none."""
     def rows(path: str, text: str) -> Iterator[tuple]:
         try:
             tree = ast.parse(text)
@@ -125,9 +144,11 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
     def out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in parts:
-            yield pd.DataFrame([r for p, x in zip(t["path"], t["text"]) for r in rows(p, x or "")], columns=["path", "name", "kind", "start_line", "end_line", "exported"])
+            more = zip(*(t[k] for k in keep)) if keep else [()] * len(t)
+            yield pd.DataFrame([(*m, *r) for m, p, x in zip(more, t["path"], t["text"]) for r in rows(p, x or "")], columns=[*keep, "path", "name", "kind", "start_line", "end_line", "exported"])
 
-    return files.select("path", "text").mapInPandas(out, "path string, name string, kind string, start_line int, end_line int, exported boolean")
+    kinds = "".join(f"{k} {files.schema[k].dataType.simpleString()}, " for k in keep)
+    return files.select(*keep, "path", "text").mapInPandas(out, f"{kinds}path string, name string, kind string, start_line int, end_line int, exported boolean")
 
 
 def directory_groups(files: DataFrame, most: int = 100) -> DataFrame:
@@ -141,6 +162,37 @@ def pack_statistics(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.count_distinct(folder).alias("dirs"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+class Profile(NamedTuple):
+    max_files: int
+    symbol_cap: int
+
+
+# How much of a repository an analysis of each depth sees.
+PROFILES = {"fast": Profile(400, 500), "standard": Profile(2000, 2000), "deep": Profile(4000, 8000)}
+
+
+def evidence_pack(files: DataFrame, profile: Profile = PROFILES["standard"]) -> dict[str, DataFrame]:
+    """Files, entry points, symbols and statistics of repositories (repo_id, path, size, language, text), cut by the profile.
+
+    Of each repository the first files by path are seen, and of those the first symbols by path and line; files behind the
+    one that fills the cap of symbols give no entry points. Statistics name the reason if anything was cut: max_files, or
+    else symbol_cap, which holds as soon as the cap is reached.
+    """
+    seen = checkpointed(capped(files, ["repo_id"], ["path"], profile.max_files))
+    code = seen.where("language <> 'other'").select("repo_id", "path", "text", "language")
+    parsed = python_symbols(code.where("language = 'python'"), "repo_id").select("repo_id", "path", F.col("start_line").alias("line"), "kind", "name")
+    found = declarations(code.where("language <> 'python'"), "repo_id").unionByName(parsed)
+    symbols = checkpointed(capped(found, ["repo_id"], ["path", "line", "name"], profile.symbol_cap))
+    full = symbols.where(F.col("place") == profile.symbol_cap).select("repo_id", F.col("path").alias("last"))
+    entries = seen.withColumn("role", entry_point(F.col("path"), F.col("text"))).where("role IS NOT NULL").join(full, "repo_id", "left").where("last IS NULL OR path <= last")
+    folder = F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit(""))
+    stats = seen.groupBy("repo_id").agg(F.count("*").alias("files"), F.count_distinct(folder).alias("dirs"), F.sum("size").alias("bytes"), F.max("total").alias("all_files"))
+    counted = symbols.groupBy("repo_id").agg(F.count("*").alias("symbols"))
+    stats = stats.join(counted, "repo_id", "left").withColumn("symbols", F.coalesce("symbols", F.lit(0)))
+    reason = F.when(F.col("all_files") > profile.max_files, "max_files").when(F.col("symbols") >= profile.symbol_cap, "symbol_cap")
+    return {"files": seen.drop("place", "total"), "entry_points": entries.select("repo_id", "path", "role"), "symbols": symbols.drop("place", "total"), "stats": stats.withColumns({"truncated": reason.isNotNull(), "truncation_reason": reason}).drop("all_files")}
+
+
 def tree(files: DataFrame) -> DataFrame:
     """(path, parent, depth, type, size) of all files and the folders above them."""
     parts = F.split("path", "/")

@@ -430,6 +430,41 @@ def blocks_around(spark, d):
     return P.block_around(files).select(F.col("path").alias("doc_id"), *_long("line", "first", "last"))
 
 
+# every document as a source file of its source: a declaration before its text, behind it a comment and another declaration
+_CODE = "concat('export class K', doc_id, ' {\n', regexp_replace(text, '(?m)^', '# '), '\n// fn no()\n  pub async fn f_', lang, '(x)')"
+_FILE = "'d' || lpad(CAST(doc_id AS VARCHAR(20)), 9, '0') || CASE doc_id % 5 WHEN 0 THEN '/main.rs' WHEN 1 THEN '/x.unknown' ELSE '/a.rs' END"
+_PACK = f"""
+WITH f AS (SELECT source AS repo_id, doc_id, {_FILE} AS path, length(text) AS size, 4 + length(text) - length(replace(text, chr(10), '')) AS last, lang, row_number() OVER (PARTITION BY source ORDER BY {_FILE}) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents),
+seen AS (SELECT * FROM f WHERE r <= 40),
+s AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line) AS place FROM (SELECT repo_id, path, 1 AS line, 'class' AS kind, 'K' || doc_id AS name FROM seen WHERE doc_id % 5 <> 1 UNION ALL SELECT repo_id, path, last, 'function', 'f_' || lang FROM seen WHERE doc_id % 5 <> 1)),
+sym AS (SELECT * FROM s WHERE place <= 50)
+"""
+
+
+def _pack(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("source").alias("repo_id"), F.expr(_FILE).alias("path"), F.char_length("text").cast("long").alias("size"), F.expr("CASE WHEN doc_id % 5 = 1 THEN 'other' ELSE 'rust' END").alias("language"), F.expr(_CODE).alias("text"))
+    return P.evidence_pack(rows, P.Profile(40, 50))
+
+
+@query(_PACK + "SELECT repo_id, path, CAST(line AS BIGINT) AS line, kind, name FROM sym")
+def symbols_capped(spark, d):
+    """The first 50 symbols of the first 40 files of each source."""
+    return _pack(spark, d)["symbols"].select("repo_id", "path", F.col("line").cast("long").alias("line"), "kind", "name")
+
+
+@query(_PACK + """, k AS (SELECT repo_id, count(*) AS symbols FROM sym GROUP BY repo_id)
+SELECT repo_id, count(*) AS files, count(DISTINCT path) AS dirs, sum(size)::BIGINT AS bytes, coalesce(any_value(symbols), 0) AS symbols, max(n) > 40 OR coalesce(any_value(symbols), 0) >= 50 AS truncated, CASE WHEN max(n) > 40 THEN 'max_files' WHEN coalesce(any_value(symbols), 0) >= 50 THEN 'symbol_cap' END AS truncation_reason
+FROM seen LEFT JOIN k USING (repo_id) GROUP BY repo_id""")
+def pack_stats_capped(spark, d):
+    return _pack(spark, d)["stats"]
+
+
+@query(_PACK + """, full_ AS (SELECT repo_id, path AS last FROM sym WHERE place = 50)
+SELECT repo_id, path, 'main' AS role FROM seen LEFT JOIN full_ USING (repo_id) WHERE doc_id % 5 = 0 AND (full_.last IS NULL OR path <= full_.last)""")
+def pack_entry_points(spark, d):
+    return _pack(spark, d)["entry_points"].where("role = 'main'")
+
+
 @query("SELECT doc_id, 1::BIGINT AS line, 'class' AS kind, 'K' || CAST(doc_id AS VARCHAR) AS name FROM documents UNION ALL SELECT doc_id, 4 + length(text) - length(replace(text, chr(10), '')), 'function', 'f_' || lang FROM documents")
 def declarations(spark, d):
     """Every document as a source file: a declaration before its text, behind it a comment and another declaration."""

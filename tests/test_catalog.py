@@ -14,6 +14,7 @@ from cairn.operators import sessions as S
 from cairn.sources import export as O
 from cairn.sources import files as L
 from cairn.sources import tables as W
+from cairn.sources import tree as T
 
 
 def rows(df, *cols):
@@ -178,3 +179,45 @@ def test_trigrams_in_order_reads_whole_texts(spark, tmp_path):
     got = sorted((r.doc_id, r.i, r.gram) for r in trigrams_in_order(spark, f"file://{tmp_path}").collect())
     want = [(d, i + 1, g) for d, t in enumerate(texts) for i, g in enumerate(dict.fromkeys(x[k : k + 3] for x in [(t or "").strip()] for k in range(len(x) - 2)))]
     assert got == want
+
+
+def test_source_tree_prunes_before_it_lists(spark, tmp_path):
+    made = {
+        "src/a.py": "x = 1\n", "src/deep/er/b.RS": "fn b() {}", "Makefile": "all:", "noext": "?", ".hidden": "h", "README.md": "# r", ".gitignore": "*.log\n!keep.log\ngen/\n/only_root.txt\n", "x.log": "l", "keep.log": "k",
+        "gen/c.py": "c", "src/gen/d.py": "d", "only_root.txt": "o", "src/only_root.txt": "o", "node_modules/m.js": "m", "src/build/n.js": "n", "go.sum": "g", "a.min.js": "m", "B.LOCK": "b", "pic.PNG": "p", "big.txt": "b" * 500,
+    }
+    for name, text in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "link.py").symlink_to(tmp_path / "src/a.py")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    want = {".gitignore": "other", ".hidden": "other", "Makefile": "shell", "README.md": "markdown", "keep.log": "other", "noext": "other", "src/a.py": "python", "src/deep/er/b.RS": "rust", "src/only_root.txt": "text"}
+    for parts in (1, 3, 100):
+        got = T.source_tree(spark, str(tmp_path), max_file_bytes=400, partitions=parts).collect()
+        assert {r.path: r.language for r in got} == want and len(got) == len(want)
+    assert {r.path: bytes(r.content).decode() for r in got}["src/a.py"] == "x = 1\n" and {r.size for r in got if r.path == "src/a.py"} == {6}
+    sub = T.source_tree(spark, str(tmp_path), subpath="src", rules="[]", content="false").collect()
+    assert {r.path for r in sub} == {"a.py", "deep/er/b.RS", "gen/d.py", "only_root.txt"} and all(r.content is None for r in sub)
+    assert T.source_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_capped_takes_the_first_rows_of_each_group_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(f"g{0 if i % 3 else i % 7}", rng.randrange(10_000), i) for i in range(900)]
+    df = spark.createDataFrame(data, "g string, at int, i int").repartition(6)
+    groups = {g: sorted((a, i) for h, a, i in data if h == g) for g, _, _ in data}
+    got = P.capped(df, ["g"], ["at", "i"], 25).collect()
+    assert {(r.g, r.at, r.i, r.place, r.total) for r in got} == {(g, a, i, k + 1, len(x)) for g, x in groups.items() for k, (a, i) in enumerate(x[:25])}
+
+
+def test_evidence_pack_says_what_was_cut(spark):
+    files = [("r", f"a{i}.py", 5, "python", f"def f{i}():\n    pass\nX = 1\n") for i in range(6)] + [("s", "main.go", 5, "go", "func Run() {"), ("s", "x", 1, "other", "func No() {")]
+    df = spark.createDataFrame(files, "repo_id string, path string, size long, language string, text string")
+    told = lambda *p: {r.repo_id: (r.files, r.symbols, r.truncated, r.truncation_reason) for r in P.evidence_pack(df, P.Profile(*p))["stats"].collect()}
+    assert told(100, 100) == {"r": (6, 12, False, None), "s": (2, 1, False, None)}
+    assert told(3, 100) == {"r": (3, 6, True, "max_files"), "s": (2, 1, False, None)}
+    assert told(100, 12) == {"r": (6, 12, True, "symbol_cap"), "s": (2, 1, False, None)}
+    pack = P.evidence_pack(df, P.Profile(100, 1))
+    assert {(r.repo_id, r.name) for r in pack["symbols"].collect()} == {("r", "f0"), ("s", "Run")} and {(r.path, r.role) for r in pack["entry_points"].collect()} == {("main.go", "main")}
