@@ -12,6 +12,7 @@ from cairn.functions.vectors import hash_embedding
 from cairn.operators import clustering as C
 from cairn.operators import fulltext as X
 from cairn.operators import retrieval as R
+from cairn.operators.embedding import HashEmbedder, embedded
 from cairn.operators.postings import PostingIndex
 from cairn.sources.snapshots import Snapshots
 from cairn.sources.tables import checkpointed, shared_dir, table
@@ -245,6 +246,28 @@ def hybrid_three_channels(spark, d):
     return _shown(R.hybrid_search(c, PHRASE, vectors=vectors, query_vector=_hash_vector(PHRASE), index=index(spark, d)))
 
 
+@query(f"""
+WITH c AS ({CHUNKS}), {_votes("language = 'en' AND kind = 'feature'")},
+v AS (SELECT chunk_id FROM (SELECT chunk_id, {_COS} AS cos FROM c WHERE language = 'en' AND kind = 'feature') ORDER BY cos DESC, chunk_id LIMIT 50)
+SELECT (SELECT count(*) FROM v) AS vector, (SELECT count(*) FROM k) AS keyword, (SELECT count(*) FROM s) AS substr, (SELECT count(*) FROM (SELECT chunk_id FROM k UNION SELECT chunk_id FROM v)) AS total,
+  (SELECT count(*) FROM (SELECT chunk_id FROM k UNION SELECT chunk_id FROM v LIMIT 7)) AS returned, 0 AS notes""")
+def search_totals(spark, d):
+    """Hits per channel and in all before the limit, of a filtered search."""
+    c = chunks(spark, d)
+    vectors = c.select("chunk_id", hash_embedding(F.col("text"), DIMS).alias("vec"))
+    found = R.search(c, PHRASE, 7, vectors, _hash_vector(PHRASE), index=index(spark, d), language="en", kind="feature")
+    return found.hits.agg(*[F.lit(n).cast("long").alias(k) for k, n in found.channels.items()], F.lit(found.total).cast("long").alias("total"), F.count("*").alias("returned"), F.lit(len(found.notes)).alias("notes"))
+
+
+@query(f"""
+SELECT chunk_id, 'hash:{DIMS}' AS embedder, {DIMS} AS dim, text IS NULL AS failed, round(CAST(v[1] / n AS FLOAT)::DOUBLE, 5) AS first, round(CAST(v[{DIMS}] / n AS FLOAT)::DOUBLE, 5) AS last
+FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT chunk_id, text, {_VEC.format('text')} AS v FROM ({CHUNKS})))""")
+def embedded_chunks(spark, d):
+    """Vectors of all chunks from an injected model."""
+    out = embedded(chunks(spark, d).select("chunk_id", "text"), f"hash:{DIMS}", lambda: HashEmbedder(DIMS))
+    return out.select("chunk_id", "embedder", "dim", F.col("error").isNotNull().alias("failed"), F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.get("vec", F.lit(DIMS - 1)).cast("double"), 5).alias("last"))
+
+
 @query(f"""
 WITH c AS ({CHUNKS}), {_votes('true')}
 SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS fused, string_agg(channel, ',' ORDER BY channel) AS matched_by FROM (
