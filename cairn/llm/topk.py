@@ -77,9 +77,10 @@ class SortedLists:
 
 
 def quantised(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
-    """(vec_id, x): floor(scale * component) as longs, of the vectors that have only finite components."""
+    """(vec_id, x): floor(scale * component) as longs, of the vectors that have only finite components; an error where one is beyond 2^62."""
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
+    whole = lambda y: F.when(F.abs(y) < 2.0**62, F.floor(y)).otherwise(F.raise_error(F.lit("a component is too large for a long")).cast("long"))
+    x = F.transform("embedding", lambda e: whole(e.cast("double") * scale))
     return embeddings.where(F.col("vec_id").isNotNull() & fine & (F.size("embedding") > 0)).select("vec_id", x.alias("x"))
 
 
@@ -88,7 +89,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both tables are (vec_id, x array<long>). A vec_id names one vector: of rows that repeat it the greatest x counts, and a
     query never finds its own vec_id. Vectors of another length than the query's are not compared with it. Ties go to
-    the smaller vec_id. Empty tables give no rows. Other columns are ignored.
+    the smaller vec_id. Empty tables give no rows. Other columns are ignored. Scores are longs: an error is raised where
+    vectors are so large that one might not fit.
     """
     one = lambda df: df.groupBy("vec_id", F.size("x").alias("dims")).agg(F.max("x").alias("x"))
     vectors, queries = written(one(vectors), "vectors"), written(one(queries), "queries")
@@ -103,8 +105,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         ids, near, score = [], [], []
         if left.num_rows and right.num_rows:
             matrix = lambda t: t.column("x").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
-            lists = SortedLists(left.column("vec_id").to_numpy(), matrix(left))
-            for query, q in zip(right.column("vec_id").to_pylist(), matrix(right)):
+            x, asked_ = matrix(left), matrix(right)
+            if int(np.abs(x).max()) * int(np.abs(asked_).max()) * x.shape[1] >= 2**63:
+                raise OverflowError("scores might exceed 64 bits")
+            lists = SortedLists(left.column("vec_id").to_numpy(), x)
+            for query, q in zip(right.column("vec_id").to_pylist(), asked_):
                 a, b = lists.best(query, q, k)
                 ids.append(np.full(len(a), query))
                 near.append(a)

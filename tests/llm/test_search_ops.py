@@ -219,6 +219,13 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(vectors.limit(0), vectors.limit(0), 20).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[(0, [1e300, 1.0]), (1, [1.0, 2.0])], [(0, [1e9, 1.0]), (1, [1e9, 2.0])]])
+def test_scores_that_do_not_fit_a_long_are_an_error(spark, rows):
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="too large for a long|exceed 64 bits"):
+        topk.top_k(vectors, vectors.where("vec_id = 0"), 20).collect()
+
+
 def test_sorted_lists_stop_early():
     rng = np.random.default_rng(0)
     x = rng.integers(-60, 60, (5000, 3))
