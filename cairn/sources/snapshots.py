@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -98,10 +98,23 @@ class Snapshots:
                 if stray := {_values(k)[first] for k in made} - only:
                     raise ValueError(f"{name}: rows of parts that are not replaced: {sorted(stray)[:5]}")
             parts[name] = kept | made
+            known = {f["name"]: f["metadata"] for f in schemas.get(name, {"fields": []})["fields"]} if kept else {}
             schemas[name] = change.rows.schema.jsonValue()
+            for f in schemas[name]["fields"]:  # parts that stay may hold files from before a column
+                f["metadata"] = {k: v for k, v in known.get(f["name"], {}).items() if k == "EXISTS_DEFAULT"} | f["metadata"]
         self._publish(base + 1, {"version": base + 1, "schemas": schemas, "parts": parts, "meta": old["meta"] | (meta or {})})
         return base + 1
 
+    def amend(self, schemas: dict[str, StructType] | None = None, drop: Iterable[str] = (), base: int | None = None, meta: dict | None = None) -> int:
+        """The number of a version on top of ``base`` that writes no rows: other schemas for tables (files without a column read
+        as its EXISTS_DEFAULT, or null), new tables without rows, and tables that are gone."""
+        old, gone = self.manifest(base), set(drop)
+        told = {t: s.jsonValue() for t, s in (schemas or {}).items()}
+        schemas = {t: s for t, s in (old["schemas"] | told).items() if t not in gone}
+        parts = {t: old["parts"].get(t, {}) for t in schemas}
+        self._publish(old["version"] + 1, {"version": old["version"] + 1, "schemas": schemas, "parts": parts, "meta": old["meta"] | (meta or {})})
+        return old["version"] + 1
+
     def _publish(self, version: int, manifest: dict) -> None:
         draft, name = (self._path(f"{self.root}/manifests/{x}") for x in (f".{uuid.uuid4().hex}", f"{version}.json"))
         out = self._fs.create(draft, False)
