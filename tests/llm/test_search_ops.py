@@ -321,6 +321,33 @@ def test_embedding_dedup_does_not_pass_with_small_groups_missed(spark, monkeypat
         deduped(spark, x, [1] * len(x))
 
 
+def lone_pair():
+    """3,000 vectors of one label with a single link, so that no sample is likely to hold one."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=32)
+    turn -= (turn @ x[17]) * x[17]
+    x[2500] = 0.934 * x[17] + np.sqrt(1 - 0.934**2) * turn / np.linalg.norm(turn)
+    return x
+
+
+def test_embedding_dedup_measures_recall_without_sampled_links(spark, monkeypatch, caplog):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 4)
+    with caplog.at_level("INFO", logger="cairn.llm.embedding_dedup"):
+        got = deduped(spark, lone_pair(), [1] * 3000)
+    assert len(got) == 3000 and {i: v for i, v in got.items() if v != (0, i)} == {17: (1, 17), 2500: (1, 17)}
+    shown = caplog.records[-1].args
+    assert shown[0] is None and 0.995 <= shown[1] <= 1
+
+
+def test_embedding_dedup_does_not_pass_unmeasured(spark, monkeypatch):
+    for name, value in (("SAMPLE", 4), ("MAX_BATCHES", 1), ("MISS", 0.9)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    with pytest.raises(RuntimeError, match="recall is None of sampled links and 0"):
+        deduped(spark, lone_pair(), [1] * 3000)
+
+
 @pytest.mark.parametrize("block", [24])
 def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "SAMPLE", 1)
