@@ -50,6 +50,21 @@ def card_statistics(cards: DataFrame) -> DataFrame:
     return cards.agg(F.count("*").alias("cards"), F.count_if("reusable").alias("reusable"), F.count_if(pending).alias("pending"))
 
 
+def statistics(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of every table given and, of ``cards``, how many are reusable and how many wait for a description.
+
+    An empty table counts 0; each table is read once.
+    """
+    out = None
+    for name, df in tables.items():
+        figures = {name: F.count("*")}
+        if name == "cards":
+            figures |= {"reusable_cards": F.count_if("reusable"), "pending_mechanism": F.count_if(F.coalesce(json_flag(F.col("quality_json"), "$.pending"), F.lit(False)))}
+        one = df.agg(F.map_from_arrays(F.array(*map(F.lit, figures)), F.array(*figures.values())).alias("m")).select(F.explode("m").alias("name", "n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def missing(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the known ones."""
     return rows.join(known.select(key), key, "left_anti")

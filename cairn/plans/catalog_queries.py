@@ -532,3 +532,43 @@ def export_documents(spark, d):
     doc = O.repo_documents(repos.select("repo_id", "c_name"), analyses)
     got = F.from_json("document", "struct<c_name:string,latest:long,analyses:array<struct<id:long>>>")
     return doc.select(got.alias("j")).select(F.col("j.c_name").alias("repo_id"), F.coalesce(F.size("j.analyses"), F.lit(0)).cast("long").alias("analyses"), F.coalesce(F.col("j.latest").cast("string"), F.lit("")).alias("latest"))
+
+
+# --- the whole catalogue: sources are repositories, one of them with an id that is no file name; languages are patterns
+
+_SITE = """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, CASE WHEN source = 'src3' THEN 'src/3' ELSE coalesce(source, 'none') END AS repo_id, coalesce(lang, 'none') AS lang, coalesce(text, '') AS text FROM documents)
+"""
+
+
+def _site(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.when(F.col("source") == "src3", "src/3").otherwise(F.coalesce("source", F.lit("none"))).alias("repo_id"), F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    repos = docs.select("repo_id").distinct().withColumn("full_name", F.upper("repo_id"))
+    analyses = docs.select(F.col("id").alias("analysis_id"), "repo_id", F.lit("committed").alias("status"), F.lit(None).cast("string").alias("finished_at"))
+    cards = docs.select(F.col("id").alias("card_id"), "repo_id", F.lit("mechanism").alias("kind"), F.concat(F.lit("card "), "id").alias("title"), F.col("text").alias("summary"), F.lit(None).cast("string").alias("symbol"), (F.col("doc_id") % 2 == 0).alias("reusable"), F.when(F.col("doc_id") % 3 == 0, '{"pending": true}').alias("quality_json"))
+    members = docs.select(F.col("lang").alias("pattern_id"), F.col("id").alias("card_id"), ((F.col("doc_id") % 10) / 16).alias("score"))
+    patterns = docs.groupBy(F.col("lang").alias("pattern_id")).agg(F.count("*").alias("card_count"), F.count_distinct("repo_id").alias("repo_count")).select("pattern_id", F.concat(F.lit("cluster-"), "pattern_id").alias("key"), F.upper("pattern_id").alias("title"), F.array("pattern_id").alias("tags"), "card_count", "repo_count")
+    return repos, analyses, cards, patterns, members
+
+
+@query(_SITE + """SELECT 'header' AS part, '' AS id, (SELECT count(DISTINCT repo_id) FROM d WHERE repo_id <> 'src/3') || ',' || (SELECT count(*) FROM d) || ',' || (SELECT count(*) FROM d) || ',' || (SELECT count(DISTINCT lang) FROM d) AS told
+UNION ALL SELECT 'repo', repo_id, upper(repo_id) || ',' || count(*) FROM d WHERE repo_id <> 'src/3' GROUP BY repo_id
+UNION ALL SELECT 'skipped', repo_id, repo_id FROM d WHERE repo_id = 'src/3' GROUP BY repo_id
+UNION ALL SELECT 'pattern', lang, upper(lang) || ',' || count(*) || ',' || count(DISTINCT repo_id) FROM d GROUP BY lang
+UNION ALL SELECT 'member', lang || '/' || id, CAST(doc_id % 10 AS VARCHAR) || ',' || CASE WHEN repo_id = 'src/3' THEN 'no page' ELSE repo_id || '.html' END || ',' || upper(repo_id) || ',' || md5(text) || ',card-' || id FROM d""")
+def catalogue_lines(spark, d):
+    """Every line of the exported catalogue, read back from its JSON."""
+    lines = O.catalogue(*_site(spark, d), {"schema_id": F.lit("catalogue/1"), "embedder": F.lit("hash"), "cluster_threshold": F.lit(0.8)})
+    kind = "stats map<string,long>, full_name string, analyses array<struct<id:string>>, repo_id string, title string, card_count long, repo_count long, score double, file string, repo_full_name string, summary string, anchor string"
+    j = lines.select("part", "id", F.from_json("document", kind).alias("j"))
+    stats = F.concat_ws(",", *[F.col("j.stats")[x].cast("string") for x in ("repos", "analyses", "cards", "patterns")])
+    member = F.concat_ws(",", (F.col("j.score") * 16).cast("int").cast("string"), F.coalesce("j.file", F.lit("no page")), "j.repo_full_name", F.md5(F.col("j.summary").cast("binary")), "j.anchor")
+    told = F.when(F.col("part") == "header", stats).when(F.col("part") == "repo", F.concat_ws(",", "j.full_name", F.size("j.analyses").cast("string"))).when(F.col("part") == "skipped", F.col("j.repo_id"))
+    told = told.when(F.col("part") == "pattern", F.concat_ws(",", "j.title", F.col("j.card_count").cast("string"), F.col("j.repo_count").cast("string"))).otherwise(member)
+    return j.select("part", "id", told.alias("told"))
+
+
+@query(_SITE + """SELECT 'repos' AS name, count(DISTINCT repo_id) AS n FROM d UNION ALL SELECT 'analyses', count(*) FROM d UNION ALL SELECT 'cards', count(*) FROM d UNION ALL SELECT 'reusable_cards', count(*) FILTER (doc_id % 2 = 0) FROM d
+UNION ALL SELECT 'pending_mechanism', count(*) FILTER (doc_id % 3 = 0) FROM d UNION ALL SELECT 'patterns', count(DISTINCT lang) FROM d UNION ALL SELECT 'pattern_members', count(*) FROM d""")
+def table_statistics(spark, d):
+    repos, analyses, cards, patterns, members = _site(spark, d)
+    return K.statistics({"repos": repos, "analyses": analyses, "cards": cards, "patterns": patterns, "pattern_members": members})
