@@ -58,3 +58,22 @@ def test_import_caps_and_keys(spark):
 def test_declarations_by_language(spark, line, kind, name):
     got = [(r["kind"], r["name"]) for r in profiling.declarations(spark.createDataFrame([("x.ts", line)], "path string, text string")).collect()]
     assert got == ([(kind, name)] if kind else [])
+
+
+def test_registration_keeps_details_and_merges_known_ids(spark):
+    schema = "repo_id string, full_name string, identity_key string, head_sha string, is_stale boolean, aliases array<string>, stars long, url string, language string, license string, description string"
+    repos = [("a", "o/a", "id:1", "h1", False, None, 5, "u1", "go", "MIT", "old"), ("b", "o/b", "id:2", "h2", False, [], None, "u2", "c", None, None), ("d", "o/d", "name:d", "h4", False, [], 1, "u4", "lua", "X", "y")]
+    refs = [
+        ("b", "o/b2", "id:1", "h1", None, None, 7, "u9", None, None, "new", False),  # known, but a has its identity
+        ("e", "o/e", "name:d", "h9", None, None, None, "u5", "py", None, None, True),  # made up from a name: no rename
+        ("f", "o/f", None, "h5", None, None, None, None, None, None, None, None),
+    ]
+    out = registration.registered(spark.createDataFrame(repos, schema), spark.createDataFrame(refs, schema + ", degraded boolean"))
+    got = {r.repo_id: (r.full_name, r.aliases, r.stars, r.url, r.language, r.license, r.description, r.action) for r in out.collect()}
+    assert got == {
+        "a": ("o/b2", ["o/a"], 7, "u9", None, "MIT", "new", "merged"),
+        "b": ("o/b", [], None, "u2", "c", None, None, "kept"),
+        "d": ("o/d", [], 1, "u4", "lua", "X", "y", "kept"),
+        "e": ("o/e", [], None, "u5", "py", None, None, "new"),
+        "f": ("o/f", [], None, None, None, None, None, "new"),
+    }
