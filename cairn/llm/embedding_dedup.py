@@ -9,12 +9,15 @@
    by planes through the middle between two of its vectors.
 3. NN-descent: the neighbours of every vector, forward and backward, are compared with each other until few entries change.
 4. Links are kept beside the lists: whatever a comparison connects takes no place in them, so a list is enlarged by as many
-   places as its vector has links there, and a list full of links, which could hide others, does not occur.
+   places as its vector has links there, and a list full of links, which could hide others, does not occur. After every round
+   links are merged into groups, and only links between what were different groups are passed on: no group grows denser, and
+   the plan of a round does not depend on how many rounds there were.
 5. A bounded sample, a new one each time, is audited against all vectors: while recall, the mean share of a vector's links
    that the graph connects, is under TARGET, more tables are added; if that does not help, an error is raised. Missed links
    that the audit finds join the result, but never the graph that the next sample measures. As a sample may hold no link at all,
    the search is measured on PLANTED twins as well: vectors of labels too large to be compared in full, turned away to a cosine
-   just above the threshold, which take part in the search under ids of their own and in nothing else.
+   just above the threshold, which take part in the search under ids of their own and in nothing else: a twin is tied to groups,
+   but connects nothing.
 6. Members of a group are compared with each other in blocks, which counts every link between them.
 Groups, cells and neighbourhoods of any size are dealt out in parts of bounded size, and every two parts are compared.
 """
@@ -22,6 +25,8 @@ Groups, cells and neighbourhoods of any size are dealt out in parts of bounded s
 from __future__ import annotations
 
 import logging
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -66,17 +71,26 @@ def _dealt(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("parts", "other")
 
 
-_FOUND = "src long, dst long, sim double, sure boolean"
+_FOUND = "src long, dst long, sim double, sure boolean, twin boolean, deep boolean"
 
 
 def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, cosine: float) -> pa.Table:
-    """Of sets of rows that meet: (src, dst, sim), up to k nearest of each vector above its floor; and (src, dst, null, sure),
-    what the links of a set connect and, not sure, what may be a link besides.
+    """Of sets of rows that meet: (src, dst, sim), up to k nearest of each vector above its floor; and (src, dst, null, sure, twin),
+    what the links of a set connect and, not sure, what may be a link besides. Deep is what k > 0 searches.
 
     Vectors that a set's links connect do not count as near in it. In sets that are ``apart`` only rows of different parts meet.
+    Twins connect nothing and do not meet each other: a set has one pair, twin first, for a twin and what the other links connect.
     """
-    u, e, ids, floor, mine = _drawn(t), *(t.column(c).to_numpy() for c in ("e", "id", "floor", "mine"))
+    u, e, ids, floor, mine, twin = _drawn(t), *(t.column(c).to_numpy() for c in ("e", "id", "floor", "mine", "twin"))
     e, size, found, a_, b_, sure = e.astype(np.float32), np.array([len(x) for x in sets]), [], [], [], []
+
+    def tie(rows, c, i, j, group, is_sure):
+        """The first pair of each twin (c, i) and group."""
+        once = np.unique((c * rows.shape[1] + i) * rows.shape[1] + group[c, j], return_index=True)[1]
+        a_.append(rows[c, i][once])
+        b_.append(rows[c, j][once])
+        sure.append(np.full(len(once), is_sure))
+
     order, at = np.argsort(size, kind="stable"), 0
     while at < len(order):
         m = size[order[min(at + 63, len(order) - 1)]]
@@ -90,9 +104,15 @@ def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, co
         two = np.array([apart[x] for x in some])
         if two.any():
             good[two] &= mine[rows[two]][:, :, None] != mine[rows[two]][:, None]
+        tc, ti = np.nonzero(twin[rows] & real)
+        if len(tc):
+            good[tc, ti] &= ~twin[rows[tc]]
         slack = err[:, :, None] + err[:, None] * (1 + err[:, :, None]) + np.float32(_FLOAT32)
         near = (sim - slack >= cosine) & good
         maybe = (sim + slack >= cosine) & good & ~near
+        tied, doubtful = near[tc, ti], maybe[tc, ti]
+        for x in (near, maybe):
+            x[tc, ti] = x[tc, :, ti] = False
         group = np.broadcast_to(np.arange(m), rows.shape)
         linked = near.any((1, 2))
         if linked.any():
@@ -108,6 +128,17 @@ def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, co
             b_.append(flat[by][1:][one])
             sure.append(np.ones(one.sum(), bool))
         other = group[:, :, None] != group[:, None]
+        if len(tc):
+            of, hidden = group[tc], np.zeros(tied.shape, bool)
+            x, j = np.nonzero(tied)
+            tie(rows, tc[x], ti[x], j, group, True)
+            hidden[x, of[x, j]] = True
+            hidden = np.take_along_axis(hidden, of, 1)  # what a twin is tied to is not near it either
+            other[tc, ti] &= ~hidden
+            other[tc, :, ti] &= ~hidden
+            x, j = np.nonzero(doubtful & ~hidden)
+            by = np.argsort(-sim[tc[x], ti[x], j], kind="stable")
+            tie(rows, tc[x][by], ti[x][by], j[by], group, False)
         c, i, j = np.nonzero(maybe & other)
         c, i, j = (v[i < j] for v in (c, i, j))
         a_.append(rows[c, i])
@@ -121,7 +152,7 @@ def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, co
             found.append((rows[c, i], rows[c, best[c, i, j]], got[c, i, j]))
     join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
     a, b, sure = join(a_, int), join(b_, int), join(sure, bool)
-    out = [pa.table({"src": ids[a], "dst": ids[b], "sim": pa.nulls(len(a), pa.float64()), "sure": sure})]
+    out = [pa.table({"src": ids[a], "dst": ids[b], "sim": pa.nulls(len(a), pa.float64()), "sure": sure, "twin": twin[a], "deep": np.full(len(a), k > 0)})]
     if found:
         src, dst, sim = (join(x, kind) for x, kind in zip(zip(*found), (int, int, np.float32)))
         src, dst = ids[src], ids[dst]
@@ -133,29 +164,29 @@ def _compared(t: pa.Table, sets: list[np.ndarray], apart: list[bool], k: int, co
         first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, int)
         rank = np.arange(len(src)) - np.repeat(first, np.diff(np.r_[first, len(src)]))
         src, dst, sim = src[rank < k], dst[rank < k], sim[rank < k]
-        out.append(pa.table({"src": src, "dst": dst, "sim": sim.astype(np.float64), "sure": pa.nulls(len(src), pa.bool_())}))
+        out.append(pa.table({"src": src, "dst": dst, "sim": sim.astype(np.float64), "sure": (no := pa.nulls(len(src), pa.bool_())), "twin": no, "deep": no}))
     return pa.concat_tables(out)
 
 
 def _sketches(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(id, label, q, s, e, bits, tables) of (id, label, v): how many planes and tables a label's size asks for; no planes where it is one block."""
+    """(id, label, twin, q, s, e, bits, tables) of (id, label, twin, v): how many planes and tables a label's size asks for; no planes where it is one block."""
     def sketch(batches):
         for part in batches:
             q, s, e = _sketched(part.column("v"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(s), pa.array(e)], ["id", "label", "q", "s", "e"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "label", "twin")), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(s), pa.array(e)], ["id", "label", "twin", "q", "s", "e"])
 
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)).cast("int"))
     sizes = vectors.groupBy("label").agg(bits.alias("bits"))
     meet = F.pow(F.lit(1 - np.arccos(cosine) / np.pi), F.col("bits"))  # that a pair at the threshold falls into one cell
     tables = F.when(F.col("bits") == 0, 1).otherwise(F.ceil(np.log(MISS) / F.ln(1 - meet))).cast("int")
     sizes = sizes.select("label", "bits", tables.alias("tables"))
-    return written(vectors.select("id", "label", "v").mapInArrow(sketch, f"id long, label long, {_SKETCH}").join(sizes, "label"), "sketches")
+    return written(vectors.select("id", "label", "twin", "v").mapInArrow(sketch, f"id long, label long, twin boolean, {_SKETCH}").join(sizes, "label"), "sketches")
 
 
 def _cells(rows: DataFrame, seed: int, k: int, cosine: float) -> DataFrame:
     """What comparing the vectors of every cell finds."""
-    names = ["id", "label", "q", "s", "e", "floor", "bits"]
-    types = f"id long, label long, {_SKETCH}, floor double, bits int, code long"
+    names = ["id", "label", "twin", "q", "s", "e", "floor", "bits"]
+    types = f"id long, label long, twin boolean, {_SKETCH}, floor double, bits int, code long"
 
     def place(batches):
         for part in batches:
@@ -207,19 +238,18 @@ def _best(found: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
     return written(best.select("src", F.explode("l").alias("x")).select("src", "x.dst", "x.sim", "x.new"), "lists")
 
 
-def _descend(rows: DataFrame, lists: DataFrame, old: DataFrame, fresh: DataFrame, n: int, k: int, cosine: float) -> DataFrame:
-    """What comparing the neighbours of each of n vectors, by lists and by links (a, b), ``old`` and ``fresh``, with each other finds.
+def _descend(rows: DataFrame, lists: DataFrame, ties: DataFrame, n: int, k: int, cosine: float) -> DataFrame:
+    """What comparing the neighbours of each of n vectors, by lists and by ties (a, b, new), with each other finds.
 
     Vectors without new neighbours are left out. Neighbourhoods go to n / 256 groups of rows, large ones in parts.
     """
-    edges = lists.select("src", "dst", "new").unionByName(old.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(False).alias("new")))
-    edges = edges.unionByName(fresh.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(True).alias("new")))
+    edges = lists.select("src", "dst", "new").unionByName(ties.select(F.col("a").alias("src"), F.col("b").alias("dst"), "new"))
     near = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new"))
     near = near.groupBy("src", F.col("dst").alias("id")).agg(F.min("new").alias("new"))
     open_ = near.where("new").select("src").distinct()
     near = near.select("src", "id").join(open_, "src", "left_semi").unionByName(open_.select("src", F.col("src").alias("id")))
     worst = lists.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-    full = rows.join(worst, "id", "left").select("id", "q", "s", "e", F.greatest("floor", "worst").alias("floor"))
+    full = rows.join(worst, "id", "left").select("id", "twin", "q", "s", "e", F.greatest("floor", "worst").alias("floor"))
     group = F.pmod(F.xxhash64("src", "i", "j"), F.lit(max(1, n // 256))).alias("group")
     near = _dealt(near, ["src"], PART).select(group, "src", "i", "j", "mine", "id").join(full, "id")
 
@@ -233,36 +263,81 @@ def _descend(rows: DataFrame, lists: DataFrame, old: DataFrame, fresh: DataFrame
     return near.groupBy("group").applyInArrow(meet, _FOUND)
 
 
-def _search(sketches: DataFrame, lists: DataFrame | None, links: DataFrame | None, seed: int, k: int, cosine: float) -> tuple[DataFrame | None, DataFrame]:
-    """``lists`` and the pairs (a, b, sure) that are, or if not sure may be, links, after one NN-descent."""
+def _fresh(found: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The pairs (a, b, sure, twin, deep, a_of, b_of) that comparisons found between different groups, each once; a twin is a."""
+    least, most = F.least("src", "dst"), F.greatest("src", "dst")
+    pairs = found.where("sim IS NULL").select(F.when(F.col("twin"), F.col("src")).otherwise(least).alias("a"), F.when(F.col("twin"), F.col("dst")).otherwise(most).alias("b"), "sure", "twin", "deep")
+    pairs = pairs.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("sure", "twin", "deep")))
+    if groups is None:
+        return written(pairs.withColumns({"a_of": F.col("a"), "b_of": F.col("b")}), "fresh")
+    return written(_between(pairs, groups), "fresh")
+
+
+def _between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups, with these as a_of and b_of."""
+    of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.withColumns({"a_of": F.coalesce("a_of", "a"), "b_of": F.coalesce("b_of", "b")}).where("a_of != b_of")
+
+
+def _merged(groups: DataFrame | None, fresh: DataFrame) -> DataFrame | None:
+    """``groups`` (id, component) after the sure ones of ``fresh``: links merge groups, a twin is only put into one of those it is tied to."""
+    sure = fresh.where("sure")
+    links, twins = sure.agg(F.count_if(~F.col("twin")), F.count_if("twin")).first()
+    if not links + twins:
+        return groups
+    link = sure.where("NOT twin")
+    ends = [link.select(F.col("a").alias("id"), F.col("a_of").alias("component")), link.select(F.col("b").alias("id"), F.col("b_of").alias("component")), sure.where("twin").select(F.col("a").alias("id"), F.col("b_of").alias("component"))]
+    ends = reduce(DataFrame.unionByName, ends if groups is None else [groups, *ends])
+    if links:
+        into = components(link.select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("into"))
+        ends = ends.join(into, "component", "left").select("id", F.coalesce("into", "component").alias("component"))
+    return written(ends.groupBy("id").agg(F.min("component").alias("component")), "groups")
+
+
+class _Graph(NamedTuple):
+    """What a search has found: lists, ties (a, b, twin, new) and groups (id, component), and pairs that may be links in ``doubtful``."""
+
+    lists: DataFrame | None = None
+    ties: DataFrame | None = None
+    groups: DataFrame | None = None
+    doubtful: tuple[DataFrame, ...] = ()
+
+
+def _search(sketches: DataFrame, graph: _Graph, seed: int, k: int, cosine: float) -> _Graph:
+    """``graph`` after one more NN-descent."""
     rows = sketches.withColumn("floor", F.lit(-2.0))
-    n, found, pairs = sketches.where("bits > 0").count(), _cells(rows, seed, k, cosine), links
+    lists, ties, groups, doubtful = graph
+    n, found = sketches.where("bits > 0").count(), _cells(rows, seed, k, cosine)
     while True:
         found = written(found, "found")
-        fresh = found.where("sim IS NULL").select(F.col("src").alias("a"), F.col("dst").alias("b"), "sure")
-        old, pairs = pairs, fresh if pairs is None else pairs.unionByName(fresh)
+        fresh = _fresh(found, groups)
+        before, groups, doubtful = groups, _merged(groups, fresh), (*doubtful, fresh.where("NOT sure"))
         if not n:
-            return None, pairs
+            return _Graph(lists, ties, groups, doubtful)
+        more, old = fresh.where("sure AND deep").select("a", "b", "twin", F.lit(True).alias("new")), ties and ties.withColumn("new", F.lit(False))
+        ties = more if old is None else old if groups is before else written(more.unionByName(old), "ties")
         lists = _best(found, lists, k)
         if lists.where("new").count() <= DELTA * k * n:
-            return lists, pairs
-        deep = rows.where("bits > 0")
-        of = lambda df: df.where("sure").select("a", "b").join(deep.select(F.col("id").alias("a")), "a", "left_semi")
-        found = _descend(deep, lists, of(fresh.limit(0) if old is None else old), of(fresh), n, k, cosine)
-
+            return _Graph(lists, ties, groups, doubtful)
+        found = _descend(rows.where("bits > 0"), lists, ties, n, k, cosine)
 
-def _links(pairs: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    """The links (a, b) of pairs (a, b, sure): sure ones as they are, the others confirmed on the vectors."""
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
+def _confirmed(graph: _Graph, vectors: DataFrame, cosine: float) -> _Graph:
+    """``graph`` with the links among its doubtful pairs, confirmed on the vectors."""
     def confirm(batches):
         for part in batches:
             good = pa.array((_unit(part.column("va")) * _unit(part.column("vb"))).sum(1) >= cosine)
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(good) for c in names], names)
 
+    names = ["a", "b", "twin", "deep", "a_of", "b_of"]
     named = lambda c: vectors.select(F.col("id").alias(c), F.col("v").alias(f"v{c}"))
-    open_ = both.where("NOT sure").select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "va", "vb")
-    return both.where("sure").select("a", "b").unionByName(open_.mapInArrow(confirm, "a long, b long"))
+    pairs = reduce(DataFrame.unionByName, graph.doubtful).select("a", "b", "twin", "deep").distinct()
+    pairs = pairs.withColumns({"a_of": F.col("a"), "b_of": F.col("b")}) if graph.groups is None else _between(pairs, graph.groups)
+    links = pairs.join(named("a"), "a").join(named("b"), "b").select(*names, "va", "vb").mapInArrow(confirm, "a long, b long, twin boolean, deep boolean, a_of long, b_of long")
+    links = written(links.withColumn("sure", F.lit(True)), "confirmed")
+    ties = graph.ties if graph.ties is None else graph.ties.unionByName(links.where("deep").select("a", "b", "twin", F.lit(True).alias("new")))
+    return graph._replace(ties=ties, groups=_merged(graph.groups, links), doubtful=())
 
 
 def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, float | None]:
@@ -292,8 +367,8 @@ def audit(vectors: DataFrame, groups: DataFrame, cosine: float = COSINE, sample:
     return named.where("missed").select("a", "b"), recall
 
 
-def _planted(vectors: DataFrame, cosine: float, number: int, seed: int) -> tuple[DataFrame, list[int]] | None:
-    """(id, label, v, source) and the ids: twins of up to ``number`` vectors, picked by hash, of labels that are not compared in
+def _planted(vectors: DataFrame, cosine: float, number: int, seed: int) -> tuple[DataFrame, int] | None:
+    """(id, label, v, source) and their number: twins of up to ``number`` vectors, picked by hash, of labels that are not compared in
     full, at cosines from just above the threshold to a fifth of the way to 1; None where there is no such label."""
     large = vectors.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     picked = vectors.join(large, "label").select("id", "label", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(number).toArrow()
@@ -310,16 +385,15 @@ def _planted(vectors: DataFrame, cosine: float, number: int, seed: int) -> tuple
     label, source = picked.column("label").to_pylist(), picked.column("id").to_pylist()
     rows = [(*x, v) for *x, v in zip(ids, label, source, (c * u + np.sqrt(1 - c * c) * away).tolist())]
     twins = vectors.sparkSession.createDataFrame(rows, "id long, label long, source long, v array<double>")
-    return written(twins.select("id", "label", F.col("v").cast(vectors.schema["v"].dataType).alias("v"), "source"), "twins"), ids
+    return written(twins.select("id", "label", F.col("v").cast(vectors.schema["v"].dataType).alias("v"), "source"), "twins"), len(ids)
 
 
-def _found_twins(twins: DataFrame, ids: list[int], links: DataFrame, groups: DataFrame) -> float:
-    """The share of twins that a link ties to the group of the vector they were made from."""
-    twin = F.col("a").isin(ids)
-    ties = links.where(twin != F.col("b").isin(ids)).select(F.when(twin, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(twin, F.col("b")).otherwise(F.col("a")).alias("to"))
+def _found_twins(twins: DataFrame, number: int, ties: DataFrame, groups: DataFrame) -> float:
+    """The share of twins that a tie (a, b, twin) binds to the group of the vector they were made from."""
+    ties = ties.where("twin").select(F.col("a").alias("id"), F.col("b").alias("to"))
     of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
     ties = ties.join(twins.select("id", "source"), "id").join(of("to"), "to", "left").join(of("source"), "source", "left")
-    return ties.where(F.coalesce("to_of", "to") == F.coalesce("source_of", "source")).select("id").distinct().count() / len(ids)
+    return ties.where(F.coalesce("to_of", "to") == F.coalesce("source_of", "source")).select("id").distinct().count() / number
 
 
 def _links_within(vectors: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
@@ -351,19 +425,16 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, k: int = LIST
     rows = embeddings.where(fine).select("vec_id", F.col("label").cast("long").alias("label"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(3), v).alias("h2"), v.alias("v"))
     ids = rows.groupBy(*key, F.col("vec_id").alias("id")).agg(F.first("v").alias("v"))  # equal hashes: equal vectors
     vectors = written(ids.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("size"), F.min_by("v", "id").alias("v")), "vectors")
-    planted = _planted(vectors, cosine, PLANTED, SEED)
-    twins, planted_ids = planted or (None, [])
-    searched = vectors if twins is None else vectors.select("id", "label", "v").unionByName(twins.drop("source"))
-    sketches, lists, pairs, extra = _sketches(searched, cosine), None, None, None
+    twins, number = _planted(vectors, cosine, PLANTED, SEED) or (None, 0)
+    searched = vectors.select("id", "label", "v", F.lit(False).alias("twin"))
+    searched = searched if twins is None else searched.unionByName(twins.select("id", "label", "v", F.lit(True).alias("twin")))
+    sketches, graph, extra = _sketches(searched, cosine), _Graph(), None
     for batch in range(MAX_BATCHES):
-        lists, pairs = _search(sketches, lists, pairs, SEED + batch, k, cosine)
-        links = _links(pairs, searched, cosine)
-        if planted_ids:
-            links = written(links, "links")
-        real = links.where(~F.col("a").isin(planted_ids) & ~F.col("b").isin(planted_ids)) if planted_ids else links
-        groups = written(components(real), "groups")
+        graph = _confirmed(_search(sketches, graph, SEED + batch, k, cosine), searched, cosine)
+        groups = graph.groups
+        groups = vectors.select("id", F.col("id").alias("component")).limit(0) if groups is None else groups if twins is None else groups.join(twins.select("id"), "id", "left_anti")
         missed, recall = audit(vectors, groups, cosine, SAMPLE, SEED + batch)
-        found = _found_twins(twins, planted_ids, links, groups) if planted_ids else None
+        found = None if twins is None else _found_twins(twins, number, graph.ties, groups)
         log.info("embedding near-dedup: recall %s of sampled links, %s of planted twins after %d batches", recall, found, batch + 1)
         extra = missed if extra is None else extra.unionByName(missed)
         if min((x for x in (recall, found) if x is not None), default=1.0) >= TARGET:  # nothing measured: all labels were compared in full

@@ -367,6 +367,35 @@ def test_embedding_dedup_bridges_tight_clusters(spark, monkeypatch, block):
     assert {c for _, c in got.values()} == {0} and [got[i][0] for i in range(len(x))] == near.sum(1).tolist()
 
 
+def test_embedding_dedup_twins_connect_nothing(spark, monkeypatch):
+    """16 vectors on a circle, none linked; the twins of each, just above the threshold away, are next to its neighbours."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    turn = np.arange(16) * np.pi / 8
+    assert deduped(spark, np.stack([np.cos(turn), np.sin(turn)], 1), [1] * 16) == {i: (0, i) for i in range(16)}
+
+
+def test_embedding_dedup_rounds_grow_neither_plans_nor_groups(spark, monkeypatch):
+    """300 near copies among 600 other vectors of their label: pairs found by all rounds, and what the plan of a round reads."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=0.05, size=(300, 16)), rng.normal(size=(600, 16))]).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    write, pairs, reads = embedding_dedup.written, [], []
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "found":
+            pairs.append(out.where("sim IS NULL").count())
+            reads.append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "written", seen)
+    got = deduped(spark, x, [1] * len(x))
+    near = links_of(x, [1] * len(x))
+    want = grouped(len(x), np.argwhere(near).tolist())
+    assert got == {i: (near[i].sum(), want[i]) for i in range(len(x))}
+    assert len(reads) >= 4 and max(reads[3:]) <= reads[2] and max(pairs) <= 1.5 * pairs[0], (reads, pairs)
+
+
 # --- toxicity
 
 
