@@ -100,10 +100,9 @@ def recluster(store: Snapshots, vectors: DataFrame, by: dict[str, Column], thres
     cards = cards.join(groups, "repo_id", "left").withColumn("source_group", F.coalesce("g", "repo_id"))
     cards = ordered_ids(cards.select("card_id", "vec", "repo_id", "source_group", "title", "tags", F.col("mechanism_desc").alias("text"), "intent", "producer"))
     flat = cards.select(F.col("n").alias("card_id"), "vec")
-    pairs = checkpointed(C.similar_pairs(flat, threshold))
-    found = checkpointed(C.clusters(flat, threshold, pairs))
-    scores = C.member_scores(found, pairs).withColumnRenamed("card_id", "n")
+    found = checkpointed(C.block_clusters(flat, threshold))
     members = checkpointed(C.spanning(found.withColumnRenamed("card_id", "n").join(cards.drop("vec"), "n")))
+    scores = C.scores_within(members.select("cluster", F.col("n").alias("card_id")), flat).withColumnRenamed("card_id", "n").select("n", "score")
     layer = pattern_layer(members, scores.join(cards.select("n", "card_id"), "n").drop("n"))
     store.commit(layer_changes(store, layer, base, by, index), base, {"patterns_of": base})
     seen = found.agg(F.count_distinct("cluster").alias("c"), F.count("*").alias("n")).first()
