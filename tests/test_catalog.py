@@ -221,3 +221,12 @@ def test_evidence_pack_says_what_was_cut(spark):
     assert told(100, 12) == {"r": (6, 12, True, "symbol_cap"), "s": (2, 1, False, None)}
     pack = P.evidence_pack(df, P.Profile(100, 1))
     assert {(r.repo_id, r.name) for r in pack["symbols"].collect()} == {("r", "f0"), ("s", "Run")} and {(r.path, r.role) for r in pack["entry_points"].collect()} == {("main.go", "main")}
+
+
+def test_pairs_with_several_keys_in_common_come_once_without_being_compared(spark):
+    left = spark.createDataFrame([(i, [i % 3, 7, None]) for i in range(20)] + [(3, [8])], "l int, ks array<int>")
+    right = spark.createDataFrame([(i, [i % 4, 7, 8]) for i in range(30)] + [(40, [None]), (40, [2])], "r int, ms array<int>")
+    found = K.key_overlap(left, right, "ks", "ms")
+    assert rows(found, "l", "r") == sorted([(i, j) for i in range(20) for j in range(30)] + [(i, 40) for i in range(20) if i % 3 == 2])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Join") < plan.index("Exchange")  # nothing is dealt after the join
